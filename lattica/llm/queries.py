@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .language_id import op3_language_id
 from .license_scan import op1_license_scan
 from .quality import op7_quality
+from .toxicity import op4_toxicity
 from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op7_quality": op7_quality,
     "op9_url_filter": op9_url_filter,
 }
