@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .language_id import op3_language_id
 from .license_scan import op1_license_scan
+from .ngram_join import op2_ngram_join
 from .quality import op7_quality
 from .toxicity import op4_toxicity
 from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op7_quality": op7_quality,
