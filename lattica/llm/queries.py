@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprint import op5_fingerprint
 from .language_id import op3_language_id
 from .license_scan import op1_license_scan
 from .ngram_join import op2_ngram_join
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_fingerprint": op5_fingerprint,
     "op7_quality": op7_quality,
     "op9_url_filter": op9_url_filter,
 }
