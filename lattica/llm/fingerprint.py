@@ -1,13 +1,13 @@
 """Document fingerprints by improbable features.
 
-A text's UTF-8 bytes are read through windows of 64 bytes. A window's Shannon entropy, kept up byte by byte, says how likely it is
+A text's UTF-8 bytes are read through windows of 64 bytes (16 where the text has under 512 bytes, 8 under 64). A window's Shannon entropy, kept up byte by byte, says how likely it is
 to be met by chance: the nearer it is to what ordinary text has, the more common; the rank of a window is its distance from
 there, and windows of little entropy (runs, padding) are left out. A window with the best rank among its neighbours is a
 feature. Features go, in order, into a chain of Bloom filters of 2048 bits, five bits each, at most 160 features to a filter.
 The likeness of two fingerprints compares each filter of the shorter chain with its best match in the other: the bits in
 common beyond those expected by chance, over the most there could be, averaged.
 
-A text of under 64 bytes has one feature, itself; an empty (or null) one has none and an empty fingerprint. Two empty
+A text of under 8 bytes has one feature, itself; an empty (or null) one has none and an empty fingerprint. Two empty
 fingerprints have likeness 1, an empty and another one 0; equal texts have equal fingerprints and likeness 1.
 
 Documents are ordered by doc_id, nulls first, then by their text, so that repeated ids have a defined order. Extra columns
@@ -31,10 +31,14 @@ WINDOW = 64
 BITS = 2048
 PER_FILTER = 160
 PROBES = 5
-REACH = 32  # a feature has the best rank within this many windows on either side
 BYTES_PER_TASK = 32_000_000
 _SCALE = 1 << 20
-_TYPICAL, _LEAST = 4.1, 2.0  # bits: entropy of ordinary text in a window, and what a window needs to count
+#: Entropy of ordinary text in a window, and what a window needs to count, as shares of the most there can be.
+_TYPICAL, _LEAST = 0.68, 0.33
+
+
+def window_of(n_bytes: int) -> int:
+    return WINDOW if n_bytes >= 512 else 16 if n_bytes >= 64 else 8
 
 
 @lru_cache(maxsize=1)
@@ -62,25 +66,25 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def _entropies(raw: np.ndarray) -> np.ndarray:
+def _entropies(raw: np.ndarray, width: int) -> np.ndarray:
     """Scaled entropy sums (sum of c*log2(c)) of all windows of ``raw``; at least one window long."""
     n = len(raw)
-    ahead, behind = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # equal bytes among the 63 after and before
-    for lag in range(1, WINDOW):
+    ahead, behind = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # equal bytes among the others of a window after and before
+    for lag in range(1, width):
         same = (raw[lag:] == raw[:-lag]).view(np.uint8)
         behind[lag:] += same
         ahead[:-lag] += same
     gain = _gain()
-    first, counts = np.bincount(raw[:WINDOW], minlength=256), np.concatenate([[0], np.cumsum(gain)])
+    first, counts = np.bincount(raw[:width], minlength=256), np.concatenate([[0], np.cumsum(gain)])
     start = counts[first].sum()
-    step = gain[behind[WINDOW:]] - gain[ahead[: n - WINDOW]]
+    step = gain[behind[width:]] - gain[ahead[: n - width]]
     return start + np.concatenate([[0], np.cumsum(step)])
 
 
-def _ranks(sums: np.ndarray) -> np.ndarray:
+def _ranks(sums: np.ndarray, width: int) -> np.ndarray:
     """Rarity of the windows, lower is rarer; windows that don't count get the largest value."""
-    entropy = np.log2(WINDOW) - sums / (_SCALE * WINDOW)
-    rank = (65_000 - np.minimum(np.abs(entropy - _TYPICAL), 4) * 16_000).astype(np.int32)
+    entropy = 1 - sums / (_SCALE * width * np.log2(width))
+    rank = (65_000 - np.abs(entropy - _TYPICAL) * 65_000).astype(np.int32)
     rank[entropy < _LEAST] = 1 << 30
     return rank
 
@@ -104,16 +108,18 @@ def features(data: bytes) -> np.ndarray:
     size = 1 << max(12, (n + 1).bit_length())
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values()[raw] * _powers(_BASE, size)[:n], out=total[1:])
-    if n < WINDOW:
+    width = window_of(n)
+    if n < width:
         at, width = np.zeros(1, np.int64), n
     else:
-        rank = _ranks(_entropies(raw)).astype(np.int64)
+        reach = width // 2  # a feature has the best rank within this many windows on either side
+        rank = _ranks(_entropies(raw, width), width).astype(np.int64)
         # Of equal ranks the leftmost is best; texts without any window that counts have one feature, their first window.
         key = rank * (n + 1) + np.arange(len(rank))
-        padded = np.full(len(key) + 2 * REACH, np.iinfo(np.int64).max)
-        padded[REACH : REACH + len(key)] = key
-        at = np.flatnonzero((key == _window_min(padded, 2 * REACH + 1)) & (rank < 1 << 30))
-        at, width = (at if len(at) else np.zeros(1, np.int64)), WINDOW
+        padded = np.full(len(key) + 2 * reach, np.iinfo(np.int64).max)
+        padded[reach : reach + len(key)] = key
+        at = np.flatnonzero((key == _window_min(padded, 2 * reach + 1)) & (rank < 1 << 30))
+        at = at if len(at) else np.zeros(1, np.int64)
     h = (total[at + width] - total[at]) * _powers(_INVERSE, size)[at] + np.uint64(width)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
