@@ -5,7 +5,7 @@ categories before it; while training, those are out-of-fold predictions, so that
 one has learned by heart. A category's labels are a column of the labels table, or come from a word list (weak labels).
 
 Features are the presence of whole words and of word beginnings of 4 to 6 letters; those that tell toxic from clean rows best
-are kept. Learning uses at most about ``max_train`` labelled rows of at most 50,000 characters (documented bounds); every whole
+are kept. Learning uses at most about ``max_train`` labelled rows of at most 20,000 characters (documented bounds); every whole
 text is scored. Null or empty texts get the score of a text without features. With one label only, the score is that label's
 share. Extra columns aren't read; repeated rows keep their own rows; an empty table gives no rows.
 """
@@ -13,7 +13,6 @@ share. Extra columns aren't read; repeated rows keep their own rows; an empty ta
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_TRAIN = 6000
+MAX_TRAIN = 4500
 MAX_FEATURES = 800
 FOLDS = 3
 THRESHOLD = 0.5
@@ -88,33 +87,54 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, sample: np.ndarray, ridge: float =
     return w
 
 
-def _select(sets: list[set[str]], y: np.ndarray, most: int) -> dict[str, int]:
+class _Numbered:
+    """Features of training texts as numbers: each distinct word is looked at once, and a text is an array."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
+
+    def text(self, words: set[str]) -> np.ndarray:
+        found: list[int] = []
+        for w in sorted(words):  # the same numbers on every run
+            ids = self.words.get(w)
+            if ids is None:
+                ids = self.words[w] = [self.ids.setdefault(f, len(self.ids)) for f in word_features(w)]
+            found += ids
+        return np.unique(np.array(found, np.int32))
+
+
+def _select(rows: list[np.ndarray], y: np.ndarray, n_features: int, most: int) -> np.ndarray:
     """Features by how far their share among toxic rows exceeds chance (G of the 2x2 table), the strongest first."""
-    pos, neg = Counter(), Counter()
-    for s, t in zip(sets, y, strict=True):
-        (pos if t else neg).update(s)
+    a, b = np.zeros(n_features), np.zeros(n_features)
+    for r, t in zip(rows, y, strict=True):
+        (a if t else b)[r] += 1
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    scored = []
-    for f, a in pos.items():
-        b = neg.get(f, 0)
-        if a + b < 3 or a / n1 <= b / n0:
-            continue
-        share = (a + b) / (n1 + n0)
-        g = 2 * (a * np.log(a / (n1 * share)) + (b * np.log(b / (n0 * share)) if b else 0))
-        scored.append((-g, f))
-    scored.sort()
-    return {f: i for i, (g, f) in enumerate(scored[:most]) if g < -6}
+    share = np.maximum(a + b, 1) / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(a > 0, a * np.log(a / (n1 * share)), 0) + np.where(b > 0, b * np.log(b / (n0 * share)), 0))
+    g[(a + b < 3) | (a / n1 <= b / n0)] = 0
+    best = np.argsort(-g, kind="stable")[:most]
+    return best[g[best] > 6]
 
 
 def fit_rows(texts: list[str], columns: dict[str, np.ndarray], sample: np.ndarray, chain=CHAIN, *, folds: int = FOLDS, most: int = MAX_FEATURES) -> ToxicityModel:
     """The chain from labelled texts in memory. ``sample``: weight of each row."""
-    words = [set(_WORDS.findall(t.lower())) for t in texts]
-    sets = [{f for w in s for f in word_features(w)} for s in words]
-    targets = [np.array([bool(s & INSULTS) for s in words], float) if col is None else columns[col].astype(float) for _, col in chain]
-    vocabulary = _select(sets, targets[-1] > 0, most)
+    numbered, rows, insulting = _Numbered(), [], np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        words = set(_WORDS.findall(t.lower()))
+        insulting[i] = bool(words & INSULTS)
+        rows.append(numbered.text(words))
+    targets = [insulting if col is None else columns[col].astype(float) for _, col in chain]
+    chosen = _select(rows, targets[-1] > 0, len(numbered.ids), most)
+    column = np.full(len(numbered.ids), -1, np.int64)
+    column[chosen] = np.arange(len(chosen))
+    vocabulary = {f: int(column[i]) for f, i in numbered.ids.items() if column[i] >= 0}
+    del numbered
     x = np.zeros((len(texts), len(vocabulary) + len(chain)))
-    for i, s in enumerate(sets):
-        x[i, [vocabulary[f] for f in s if f in vocabulary]] = 1
+    for i, r in enumerate(rows):
+        at = column[r]
+        x[i, at[at >= 0]] = 1
     fold = np.arange(len(texts)) % folds
     weights, n = [], len(vocabulary)
     for k, y in enumerate(targets):
@@ -137,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> To
     key = F.col("doc_id")
     picked = common.bounded_sample(train.where("toxic = 0"), key, max_train * 2 // 3, zeros).unionByName(common.bounded_sample(train.where("toxic = 1"), key, max_train // 3, ones))
     # About max_train small rows: broadcast, so that no text is shuffled.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= 50_000)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= 20_000)
     got = sorted((r.doc_id, r.toxic, r.text) for r in rows.toLocalIterator() if r.text is not None)
     order = np.random.default_rng(3).permutation(len(got))
     texts = [got[i][2] for i in order]
