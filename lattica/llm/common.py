@@ -116,3 +116,22 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     offs = np.frombuffer(offsets, np.int64 if big else np.int32, len(column) + 1 + column.offset)[column.offset :].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offs[0] : offs[-1]], offs - offs[0]
+
+
+def sum_before(df: DataFrame, order: str, value: str, out: str, *, by: tuple[str, ...] = (), chunk: int = 4096) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of lower ``order`` (a long >= 0, unique within ``by``).
+
+    In two steps, so that no task gathers all rows: sums of chunks of ``order``, then sums within a chunk.
+    """
+    from pyspark.sql import Window
+
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    sums = cut.groupBy(*by, "_chunk").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_chunk").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    match = F.col("_chunk") == F.col("_of")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    within = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return own.join(starts, match).withColumn(out, F.col("_start") + F.col("_within")).drop("_chunk", "_of", "_start", "_within", "_sum", *[f"_by_{c}" for c in by])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprint import op5_fingerprint
 from .language_id import op3_language_id
 from .license_scan import op1_license_scan
+from .mixing import op6_mixing
 from .ngram_join import op2_ngram_join
 from .quality import op7_quality
 from .toxicity import op4_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_fingerprint": op5_fingerprint,
+    "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op9_url_filter": op9_url_filter,
 }
