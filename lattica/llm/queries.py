@@ -7,6 +7,7 @@ from .language_id import op3_language_id
 from .license_scan import op1_license_scan
 from .mixing import op6_mixing
 from .ngram_join import op2_ngram_join
+from .packing import op8_packing
 from .quality import op7_quality
 from .toxicity import op4_toxicity
 from .url_filter import OP9_SQL, op9_url_filter
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_fingerprint": op5_fingerprint,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
 }
 
