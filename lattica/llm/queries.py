@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op10_embedding_dedup
 from .fingerprint import op5_fingerprint
 from .language_id import op3_language_id
 from .license_scan import op1_license_scan
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES = {"op9_url_filter": OP9_SQL}
