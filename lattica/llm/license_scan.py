@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 _NON_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD = f"[^{_NON_WORD}]"
+#: The same characters, most frequent first and without giving back: several times faster to count.
+WORDS = r"[a-z0-9A-Z\x{80}-\x{10FFFF}]++"
 SEP = f"[{_NON_WORD}]"
 
 BASE_PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
@@ -139,8 +141,10 @@ def _loose(name: str) -> str:
 
 
 def signatures() -> list[Signature]:
+    """All rules. A keyword of several words is reduced to its longest, which stands unbroken wherever white space falls."""
     out = []
-    for label, name, keyword, address in FAMILIES:
+    for label, name, words, address in FAMILIES:
+        keyword = max(words.split(), key=len)
         out.append(Signature(label, "spdx", rf"spdx-license-identifier:\s*{label.replace('.', '[.]')}(?:-only|-or-later|\+)?(?![\w.-])", *TAG))
         if address:
             out.append(Signature(label, address.split("/")[0].replace("\\", "").lower(), rf"https?://(?:www\.)?{address}(?![a-z])", *ADDRESS))
@@ -148,17 +152,25 @@ def signatures() -> list[Signature]:
         out.append(Signature(label, keyword, grant, *GRANT))
         tail = r"\s+licen[cs]e(?!\w)" if label in _BARE_TOO_SHORT else r"(?!\w)"
         out.append(Signature(label, keyword, rf"(?<!\w){_loose(name)}{tail}", *NAME))
-    out.append(Signature("mit", "permission is hereby granted", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person", *GRANT))
-    out.append(Signature("isc", "permission to use", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", *GRANT))
-    out.append(Signature("bsd", "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", *GRANT))
+    out.append(Signature("mit", "permission", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person", *GRANT))
+    out.append(Signature("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", *GRANT))
+    out.append(Signature("bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", *GRANT))
     return out
 
 
-#: A text without any of these holds no signature: every rule's text has one of them.
+#: Every signature's text holds one of these (lower case): plain searches, so that most texts meet no regex at all.
+#: Single words only, as white space between words may be a line's end. "cc by" has its own test in ``detections``.
 GATE = (
-    r"(?i)licen[cs]e|licen[cs]ing|spdx|copyright|creative\s+commons|cc0|(?<![a-z0-9])cc[- ]by|public\s+domain|rights\s+reserved|confidential"
-    r"|hereby\s+granted|permission\s+to\s+use|redistribution\s+and\s+use|terms\s+as\s+perl|not\s+evil|beer-?ware|cecill|etalab|rail|mulan|freebsd|bsd|https?://|under\s"
-)
+    "licen", "spdx", "://", "under", "cc0", "bsd", "creative", "reserved", "confidential", "public", "beer", "cecill", "ouverte", "etalab",
+    "mulan", "rail", "evil", "perl", "granted", "permission", "redistribution",
+)
+
+
+def _any_of(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
 def _ends(text: Column, regex: Column, found: Column) -> Column:
@@ -183,7 +195,9 @@ def detections(docs: DataFrame, *, key: str, text_col: str = "text", rules: list
         F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit("(?i)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("ord"))
         for i, r in enumerate(rules)
     ])
-    gated = docs.select(F.col(key), text.alias("_text")).where(F.col("_text").rlike(GATE)).withColumn("_lower", F.lower("_text"))
+    gated = docs.select(F.col(key), text.alias("_text")).withColumn("_lower", F.lower("_text"))
+    low = F.col("_lower")
+    gated = gated.where(_any_of(low, GATE) | (F.contains(low, F.lit("cc")) & low.rlike(r"cc[-+\s]by")))
     due = gated.select(key, "_text", F.explode(F.filter(table, lambda r: F.contains(F.col("_lower"), r["keyword"]))).alias("r"))
     hits = due.withColumn("_found", F.regexp_extract_all("_text", F.col("r.regex"), F.lit(0))).where(F.size("_found") > 0)
     spans = hits.select(key, "r.label", "r.priority", "r.confidence", "r.ord", F.explode(_ends(F.col("_text"), F.col("r.regex"), F.col("_found"))).alias("p"))
@@ -202,8 +216,11 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     base = "(?i)" + "|".join(f"(?:{phrase_regex(p)[4:]})" for _, p in BASE_PHRASES)
     # Rows are told apart by id and text, so that repeated or missing ids don't share detections.
     rows = docs.select(F.col(id_col), text.alias("_text")).withColumn("_key", F.struct(F.col(id_col), F.xxhash64("_text"), F.length("_text")))
-    found = rows.withColumn("n_base", F.regexp_count("_text", F.lit(base)).cast("long"))
-    words = lambda c: F.regexp_count(c, F.lit(f"{WORD}+")).cast("long")
+    # Only texts with the phrases' rarest words (in any letter case, so that nothing is missed) meet the phrase regex.
+    low = F.lower("_text")
+    due = F.contains(low, F.lit("license")) | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("nc")) & F.contains(low, F.lit("by")))
+    found = rows.withColumn("n_base", F.when(due, F.regexp_count("_text", F.lit(base))).otherwise(0).cast("long"))
+    words = lambda c: F.regexp_count(c, F.lit(WORDS)).cast("long")
     some = F.col("n_base") > 0
     head = F.when(some, F.regexp_extract("_text", f"(?is)^(.*?)(?:{base[4:]})", 1))
     last = F.when(some, F.regexp_extract("_text", f"(?is)^(.*)(?:{base[4:]})", 1))
