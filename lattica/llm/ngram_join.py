@@ -30,6 +30,7 @@ NGRAM = 5
 NUM, DEN = 4, 5  # the least similarity, 0.8
 CHUNK = 256
 HUBS = 12
+SALT_ROWS = 1024
 SHINGLES_PER_TASK = 4_000_000
 _SLICE = 1_000_000
 _FLUSH = 3_000_000
@@ -434,9 +435,13 @@ def class_links(sets: DataFrame, *, chunk: int = CHUNK, hubs: int = HUBS) -> Dat
     posting = sets.select("cls", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token"))
     heads = posting.groupBy("token").agg(F.min("cls").alias("head"), F.count("*").alias("df")).where("df > 1").drop("df")
     block = written_components(posting.join(heads, "token").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")))
-    members = common.written(sets.join(block.select(F.col("node").alias("cls"), F.col("root").alias("block")), "cls"), "members")
-    size = members.groupBy("block").agg(F.count("*").alias("size"))
-    sized = members.join(size, "block")
+    # Sizes are joined to names alone; the token lists travel once to their block's row and once to their task. A large block's
+    # rows are salted, so that no join below gathers it in one task.
+    size = block.groupBy("root").agg(F.count("*").alias("size"))
+    placed = block.join(size, "root").select(F.col("node").alias("cls"), F.col("root").alias("block"), "size")
+    salts = F.ceil(F.col("size") / SALT_ROWS).cast("int")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(3)), salts).cast("int"))
+    sized = common.written(sets.hint("merge").join(placed, "cls"), "members")
     task = "cls long, n int, tokens array<bigint>, stored boolean, probing boolean, grp long, block long, i int, j int"
     names = [c.split()[0] for c in task.split(", ")]
     small = sized.where(F.col("size") <= chunk).withColumns({"stored": F.lit(True), "probing": F.lit(True), "grp": F.col("cls"), "i": F.lit(0), "j": F.lit(0)}).select(names)
@@ -448,17 +453,19 @@ def class_links(sets: DataFrame, *, chunk: int = CHUNK, hubs: int = HUBS) -> Dat
         return found
     # Hubs: about ``hubs`` members of each block, by a hash of their names.
     pick = F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.floor(F.col("size") / hubs)).cast("long")) == 0
-    hub = large.where(pick).select("block", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    hub = salted(large.where(pick).drop("salt")).select("block", "salt", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     overlap = F.size(F.array_intersect("tokens", "tb"))
     hub_links = common.written(
-        large.join(hub, "block").where((F.col("cls") != F.col("b")) & (F.col("n") * NUM <= F.col("nb") * DEN) & (F.col("nb") * NUM <= F.col("n") * DEN))
+        large.join(hub, ["block", "salt"]).where((F.col("cls") != F.col("b")) & (F.col("n") * NUM <= F.col("nb") * DEN) & (F.col("nb") * NUM <= F.col("n") * DEN))
         .where(overlap * 9 >= (F.col("n") + F.col("nb")) * 4).select(F.col("cls").alias("a"), "b"), "hub-links")
     near = components(hub_links)
-    labelled = large.join(near.select(F.col("node").alias("cls"), F.col("root").alias("grp")), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    names_only = large.select("cls", "block", "size", "salt")
+    labelled = names_only.join(near.select(F.col("node").alias("cls"), F.col("root").alias("grp")), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     labelled = common.written(labelled, "labelled")
-    per_group = labelled.groupBy("block", "grp").agg(F.count("*").alias("k"))
-    main = per_group.groupBy("block").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
-    todo = labelled.join(main, "block")
+    per_group = labelled.groupBy("block", "size", "grp").agg(F.count("*").alias("k"))
+    main = per_group.groupBy("block", "size").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
+    todo = labelled.join(salted(main).drop("size"), ["block", "salt"]).join(large.select("cls", "n", "tokens"), "cls")
     stored_chunks = F.ceil(F.col("size") / chunk).cast("int")
     probe_chunks = F.ceil(F.col("others") / chunk).cast("int")
     mine = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), n).cast("int")
@@ -487,5 +494,18 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return sets.join(of_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their component (the one of the smallest id), with all their columns.
+
+    Rows without an id can't be told from one another and stay. Of rows that repeat an id and a text one stays.
+    """
+    found = common.written(ngram_components(docs), "ngram-components")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(common.table(spark, sf_dir, "documents"))
