@@ -112,6 +112,35 @@ def fit(docs: DataFrame, *, max_train: int = MAX_TRAIN, seed: int = 11) -> Langu
     return LanguageModel(langs, free.astype(np.float32), centre.astype(np.float32), seed)
 
 
+def drop_unknown(docs: DataFrame, model: LanguageModel, *, languages: frozenset[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is known (and one of ``languages``, if given), with all their columns."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = shared.value
+        vectors = trigram_vectors(m.seed)
+        for batch in batches:
+            found = [predict_text(t, m, vectors)[0] for t in batch.column(at).to_pylist()]
+            keep = [x != UNKNOWN and (languages is None or x in languages) for x in found]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def predict_text(text: str | None, m: LanguageModel, vectors: np.ndarray) -> tuple[str, float]:
+    v = profile(text, vectors) if m.langs else None
+    if v is None:
+        return UNKNOWN, 0.0
+    v = v - m.centre
+    cos = m.prototypes @ (v / (np.sqrt(v @ v) or 1))
+    best = int(cos.argmax())
+    return m.langs[best], min(1.0, max(0.0, float(cos[best])))
+
+
 def predict(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, then lang_pred and score (the cosine, 0 where negative)."""
     spark = docs.sparkSession
@@ -125,18 +154,8 @@ def predict(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("
         m = shared.value
         vectors = trigram_vectors(m.seed)
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                v = profile(text, vectors) if m.langs else None
-                if v is None:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                v = v - m.centre
-                cos = m.prototypes @ (v / (np.sqrt(v @ v) or 1))
-                best = int(cos.argmax())
-                langs.append(m.langs[best])
-                scores.append(min(1.0, max(0.0, float(cos[best]))))
+            found = [predict_text(t, m, vectors) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            langs, scores = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

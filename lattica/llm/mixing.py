@@ -119,5 +119,12 @@ def slot_blocks(spark: SparkSession, plan: DataFrame, cumulative: list[int], slo
     return every.select("slot", "sid", number.alias("block"), F.when(last, F.col("rest") - number * block).otherwise(block).alias("limit"))
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them (rounded to whole documents), with all their columns."""
+    counts = mix_documents(docs).where("size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies"))
+    joined = docs.join(counts.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(common.table(spark, sf_dir, "documents"))

@@ -192,6 +192,23 @@ def score_texts(docs: DataFrame, model: ToxicityModel, *, keep: tuple[str, ...]
     return rows.mapInArrow(run, f"{schema}, {', '.join(f'p_{c} double' for c in model.categories)}, score double, is_toxic boolean")
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with all their columns."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        m, memo = shared.value, {}
+        for batch in batches:
+            keep = [probabilities(_present(t or "", m.vocabulary, memo), m)[-1] < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     marked = docs.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "text")
