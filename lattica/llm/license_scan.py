@@ -11,6 +11,8 @@ columns are not read, an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +39,7 @@ class Signature:
     regex: str
     priority: int
     confidence: float
+    also: str = ""  # a second word that its texts hold
 
 
 #: label, name as a regex, keyword every text with the name holds (lower case), address regex or "".
@@ -104,12 +107,18 @@ FAMILIES = (
     ("pddl-1.0", r"public domain dedication and license", "public domain", r"opendatacommons\.org/licenses/pddl"),
     ("cc0-1.0", r"(?:cc0(?: 1\.0)?|creative commons zero)", "cc0", r"creativecommons\.org/publicdomain/zero"),
     ("cc-pdm-1.0", r"public domain mark(?: 1\.0)?", "public domain", r"creativecommons\.org/publicdomain/mark"),
-    ("cc-by", r"(?:cc[- ]by|creative commons attribution)(?: [1-4]\.0)?", "by", r"creativecommons\.org/licenses/by/"),
-    ("cc-by-sa", r"(?:cc[- ]by[- ]sa|creative commons attribution[- ]share-?alike)(?: [1-4]\.0)?", "by", r"creativecommons\.org/licenses/by-sa/"),
-    ("cc-by-nd", r"(?:cc[- ]by[- ]nd|creative commons attribution[- ]no-?derivat(?:ive|e)s)(?: [1-4]\.0)?", "by", r"creativecommons\.org/licenses/by-nd/"),
-    ("cc-by-nc", r"(?:cc[- ]by[- ]nc|creative commons attribution[- ]non-?commercial)(?: [1-4]\.0)?", "by", r"creativecommons\.org/licenses/by-nc/"),
-    ("cc-by-nc-sa", r"(?:cc[- ]by[- ]nc[- ]sa|creative commons attribution[- ]non-?commercial[- ]share-?alike)(?: [1-4]\.0)?", "by", r"creativecommons\.org/licenses/by-nc-sa/"),
-    ("cc-by-nc-nd", r"(?:cc[- ]by[- ]nc[- ]nd|creative commons attribution[- ]non-?commercial[- ]no-?derivat(?:ive|e)s)(?: [1-4]\.0)?", "by", r"creativecommons\.org/licenses/by-nc-nd/"),
+    ("cc-by", r"cc[- ]by(?: [1-4]\.0)?", "cc", r"creativecommons\.org/licenses/by/"),
+    ("cc-by", r"creative commons attribution(?: [1-4]\.0)?", "creative", ""),
+    ("cc-by-sa", r"cc[- ]by[- ]sa(?: [1-4]\.0)?", "cc", r"creativecommons\.org/licenses/by-sa/"),
+    ("cc-by-sa", r"creative commons attribution[- ]share-?alike(?: [1-4]\.0)?", "creative", ""),
+    ("cc-by-nd", r"cc[- ]by[- ]nd(?: [1-4]\.0)?", "cc", r"creativecommons\.org/licenses/by-nd/"),
+    ("cc-by-nd", r"creative commons attribution[- ]no-?derivat(?:ive|e)s(?: [1-4]\.0)?", "creative", ""),
+    ("cc-by-nc", r"cc[- ]by[- ]nc(?: [1-4]\.0)?", "cc", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nc", r"creative commons attribution[- ]non-?commercial(?: [1-4]\.0)?", "creative", ""),
+    ("cc-by-nc-sa", r"cc[- ]by[- ]nc[- ]sa(?: [1-4]\.0)?", "cc", r"creativecommons\.org/licenses/by-nc-sa/"),
+    ("cc-by-nc-sa", r"creative commons attribution[- ]non-?commercial[- ]share-?alike(?: [1-4]\.0)?", "creative", ""),
+    ("cc-by-nc-nd", r"cc[- ]by[- ]nc[- ]nd(?: [1-4]\.0)?", "cc", r"creativecommons\.org/licenses/by-nc-nd/"),
+    ("cc-by-nc-nd", r"creative commons attribution[- ]non-?commercial[- ]no-?derivat(?:ive|e)s(?: [1-4]\.0)?", "creative", ""),
     ("openrail", r"(?:creativeml )?open rail-?[ms]+", "rail", r"huggingface\.co/spaces/[a-z]+/license"),
     ("llama", r"llama [0-9.]+ community license", "llama", r"llama\.meta\.com/license"),
     ("proprietary", r"all rights reserved", "rights reserved", ""),
@@ -124,7 +133,7 @@ FAMILIES = (
     ("vim", r"vim license", "vim", ""),
     ("tcl", r"tcl/tk license", "tcl", ""),
     ("json", r"shall be used for good,? not evil", "not evil", r"json\.org/license"),
-    ("beerware", r"beer-?ware", "beer", ""),
+    ("beerware", r"beer-?ware", "ware", ""),
     ("mulan-2.0", r"mulan p(?:ermissive )?s(?:oftware )?l(?:icense)?,? v(?:ersion )?2", "mulan", r"license\.coscl\.org\.cn/mulanpsl2"),
     ("etalab-2.0", r"(?:etalab|licence ouverte)(?:[ /]+etalab)?(?: v?2\.0)?", "ouverte", r"etalab\.gouv\.fr/licence-ouverte"),
 )
@@ -133,6 +142,11 @@ FAMILIES = (
 TAG, ADDRESS, GRANT, NAME = (40, 1.0), (30, 0.95), (20, 0.9), (10, 0.6)
 #: A single short word needs "license" beside it before its bare name counts.
 _BARE_TOO_SHORT = frozenset({"mit", "isc", "zlib", "vim", "cc-by"})
+#: Names that can do without the word "license" though it stands in their regex.
+_LICENSE_OPTIONAL = frozenset({"etalab-2.0", "mulan-2.0"})
+
+
+_GRANTED = r"(?:(?:re)?licen[sc]ed|released|distributed|available|published|made)\s+(?:\w+\s+){0,2}"
 
 
 def _loose(name: str) -> str:
@@ -142,16 +156,19 @@ def _loose(name: str) -> str:
 
 def signatures() -> list[Signature]:
     """All rules. A keyword of several words is reduced to its longest, which stands unbroken wherever white space falls."""
-    out = []
+    out, tagged = [], set()
     for label, name, words, address in FAMILIES:
         keyword = max(words.split(), key=len)
-        out.append(Signature(label, "spdx", rf"spdx-license-identifier:\s*{label.replace('.', '[.]')}(?:-only|-or-later|\+)?(?![\w.-])", *TAG))
+        if label not in tagged:
+            tagged.add(label)
+            out.append(Signature(label, "spdx", rf"spdx-license-identifier:\s*{label.replace('.', '[.]')}(?:-only|-or-later|\+)?(?![\w.-])", *TAG))
         if address:
             out.append(Signature(label, address.split("/")[0].replace("\\", "").lower(), rf"https?://(?:www\.)?{address}(?![a-z])", *ADDRESS))
-        grant = rf"(?<!\w)(?:(?:re)?licen[sc]ed|released|distributed|available|published|made)\s+(?:\w+\s+){{0,2}}under\s+(?:the\s+(?:terms\s+of\s+the\s+)?)?{_loose(name)}(?!\w)(?:\s+licen[cs]e)?"
-        out.append(Signature(label, keyword, grant, *GRANT))
+        grant = rf"(?<!\w){_GRANTED}under\s+(?:the\s+(?:terms\s+of\s+the\s+)?)?{_loose(name)}(?!\w)(?:\s+licen[cs]e)?"
+        out.append(Signature(label, keyword, grant, *GRANT, "under"))
         tail = r"\s+licen[cs]e(?!\w)" if label in _BARE_TOO_SHORT else r"(?!\w)"
-        out.append(Signature(label, keyword, rf"(?<!\w){_loose(name)}{tail}", *NAME))
+        also = "licen" if "licen" in name + tail and label not in _LICENSE_OPTIONAL else ""
+        out.append(Signature(label, keyword, rf"(?<!\w){_loose(name)}{tail}", *NAME, also))
     out.append(Signature("mit", "permission", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person", *GRANT))
     out.append(Signature("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", *GRANT))
     out.append(Signature("bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", *GRANT))
@@ -159,13 +176,18 @@ def signatures() -> list[Signature]:
 
 
 #: Every signature's text holds one of these (lower case): plain searches, so that most texts meet no regex at all.
-#: Single words only, as white space between words may be a line's end. "cc by" has its own test in ``detections``.
+#: Single words only, as white space between words may be a line's end. "cc by" and grants have tests of their own.
 GATE = (
-    "licen", "spdx", "://", "under", "cc0", "bsd", "creative", "reserved", "confidential", "public", "beer", "cecill", "ouverte", "etalab",
+    "licen", "spdx", "://", "cc0", "bsd", "creative", "reserved", "confidential", "public", "beerware", "beer-ware", "cecill", "ouverte", "etalab",
     "mulan", "rail", "evil", "perl", "granted", "permission", "redistribution",
 )
 
 
+def _lowered(text: Column, test) -> Column:
+    """``test`` of the lower-cased text, which is made once a row: a filter would repeat it for each of its uses."""
+    return F.element_at(F.transform(F.array(F.lower(text)), test), 1)
+
+
 def _any_of(text: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -192,13 +214,13 @@ def detections(docs: DataFrame, *, key: str, text_col: str = "text", rules: list
     rules = signatures() if rules is None else rules
     text = F.coalesce(F.col(text_col), F.lit(""))
     table = F.array(*[
-        F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit("(?i)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("ord"))
+        F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.also).alias("also"), F.lit("(?i)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("ord"))
         for i, r in enumerate(rules)
     ])
-    gated = docs.select(F.col(key), text.alias("_text")).withColumn("_lower", F.lower("_text"))
-    low = F.col("_lower")
-    gated = gated.where(_any_of(low, GATE) | (F.contains(low, F.lit("cc")) & low.rlike(r"cc[-+\s]by")))
-    due = gated.select(key, "_text", F.explode(F.filter(table, lambda r: F.contains(F.col("_lower"), r["keyword"]))).alias("r"))
+    grants = rf"{_GRANTED}under\s"
+    gate = lambda low: _any_of(low, GATE) | (F.contains(low, F.lit("cc")) & low.rlike(r"cc[-+\s]by")) | (F.contains(low, F.lit("under")) & low.rlike(grants))
+    gated = docs.select(F.col(key), text.alias("_text")).where(_lowered(F.col("_text"), gate))
+    due = gated.select(key, "_text", F.explode(_lowered(F.col("_text"), lambda low: F.filter(table, lambda r: F.contains(low, r["keyword"]) & F.contains(low, r["also"])))).alias("r"))
     hits = due.withColumn("_found", F.regexp_extract_all("_text", F.col("r.regex"), F.lit(0))).where(F.size("_found") > 0)
     spans = hits.select(key, "r.label", "r.priority", "r.confidence", "r.ord", F.explode(_ends(F.col("_text"), F.col("r.regex"), F.col("_found"))).alias("p"))
     flat = spans.select(key, "label", "priority", "confidence", "ord", F.col("p.s").alias("start"), F.col("p.e").alias("end"))
@@ -217,8 +239,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # Rows are told apart by id and text, so that repeated or missing ids don't share detections.
     rows = docs.select(F.col(id_col), text.alias("_text")).withColumn("_key", F.struct(F.col(id_col), F.xxhash64("_text"), F.length("_text")))
     # Only texts with the phrases' rarest words (in any letter case, so that nothing is missed) meet the phrase regex.
-    low = F.lower("_text")
-    due = F.contains(low, F.lit("license")) | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("nc")) & F.contains(low, F.lit("by")))
+    has = lambda low, *words: functools.reduce(operator.and_, [F.contains(low, F.lit(w)) for w in words])
+    due = _lowered(F.col("_text"), lambda low: has(low, "license") | has(low, "cc", "nc", "by"))
     found = rows.withColumn("n_base", F.when(due, F.regexp_count("_text", F.lit(base))).otherwise(0).cast("long"))
     words = lambda c: F.regexp_count(c, F.lit(WORDS)).cast("long")
     some = F.col("n_base") > 0
