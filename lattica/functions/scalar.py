@@ -49,34 +49,44 @@ def valid_position(lat: Column, lon: Column) -> Column:
     return F.coalesce(~F.isnan(lat) & ~F.isnan(lon) & lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
 
 
-def wrap_multiply(a: Column, constant: int) -> Column:
-    """The low 64 bits of a product, as a long. ANSI arithmetic would raise, so the product is made of 32-bit halves."""
-    lo, hi = constant & 0xFFFFFFFF, constant >> 32
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def wrap_add(a: Column, b: Column) -> Column:
+    """The low 64 bits of a sum, as a long: halves of 32 bits can't overflow where ANSI arithmetic would raise."""
     mask = F.lit(0xFFFFFFFF)
-    a_lo, a_hi = a.bitwiseAND(mask), F.shiftrightunsigned(a, 32)
-    # Products of 32-bit halves exceed a signed long, so one factor goes in by 16 bits.
-    def half(x: Column, k: int) -> Column:
-        low, high = x * F.lit(k & 0xFFFF), x * F.lit(k >> 16)
-        return wrap_add(low, F.shiftleft(high, 16))
 
-    cross = wrap_add(half(a_lo, hi), half(a_hi, lo))
-    return wrap_add(half(a_lo, lo), F.shiftleft(cross, 32))
+    def of(x: Column, y: Column) -> Column:
+        lower = x.bitwiseAND(mask) + y.bitwiseAND(mask)
+        return let(lower, lambda low: F.shiftleft(F.shiftrightunsigned(x, 32) + F.shiftrightunsigned(y, 32) + F.shiftrightunsigned(low, 32), 32).bitwiseOR(low.bitwiseAND(mask)))
 
+    return let(a, lambda x: let(b, lambda y: of(x, y)))
 
-def wrap_add(a: Column, b: Column) -> Column:
-    """The low 64 bits of a sum, as a long: halves of 32 bits can't overflow."""
+
+def wrap_multiply(a: Column, constant: int) -> Column:
+    """The low 64 bits of a product, as a long: the constant goes in by 16 bits, the value by 32, so no product overflows."""
     mask = F.lit(0xFFFFFFFF)
-    lower = a.bitwiseAND(mask) + b.bitwiseAND(mask)
-    upper = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(lower, 32)
-    return F.shiftleft(upper, 32).bitwiseOR(lower.bitwiseAND(mask))
+
+    def of(x: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(4):
+            part = F.lit(constant >> (16 * k) & 0xFFFF).cast("long")
+            low = F.shiftleft(x.bitwiseAND(mask) * part, 16 * k)
+            high = F.shiftleft(F.shiftrightunsigned(x, 32) * part, 16 * k + 32) if 16 * k + 32 < 64 else F.lit(0).cast("long")
+            out = wrap_add(out, wrap_add(low, high))
+        return out
+
+    return let(a, of)
 
 
 def splitmix64(x: Column) -> Column:
     """The splitmix64 finaliser of a long (fixed constants), as a signed long."""
     z = wrap_add(x, F.lit(0x9E3779B97F4A7C15 - 2**64))
-    z = wrap_multiply(z.bitwiseXOR(F.shiftrightunsigned(z, 30)), 0xBF58476D1CE4E5B9)
-    z = wrap_multiply(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), 0x94D049BB133111EB)
-    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+    z = let(z, lambda v: wrap_multiply(v.bitwiseXOR(F.shiftrightunsigned(v, 30)), 0xBF58476D1CE4E5B9))
+    z = let(z, lambda v: wrap_multiply(v.bitwiseXOR(F.shiftrightunsigned(v, 27)), 0x94D049BB133111EB))
+    return let(z, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)))
 
 
 def ngrams(text: Column, n: int = 3) -> Column:
