@@ -26,10 +26,12 @@ def pagerank(g: PropertyGraph, *, directed: bool = True, damping: float = 0.85,
     sinks = nodes.join(deg, F.col("id") == F.col("node"), "left_anti").withColumn("sink", F.lit(True))
     ranks = cut(nodes.join(sinks, "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("sink", F.lit(False)).alias("sink")))
     for _ in range(iterations):
-        lost = ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        # One row: the mass of the sinks, worked out within the round's own job.
+        lost = F.broadcast(ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))
         got = links.join(ranks.select(F.col("id").alias("node"), "rank"), "node").groupBy("nbr").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        base = (1 - damping) / n + damping * lost / n
-        ranks = cut(ranks.join(got, F.col("id") == F.col("nbr"), "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "sink"))
+        base = F.lit((1 - damping) / n) + damping * F.col("lost") / n
+        joined = ranks.select("id", "sink").join(got, F.col("id") == F.col("nbr"), "left").crossJoin(lost)
+        ranks = cut(joined.select("id", (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "sink"))
     return ranks.select("id", "rank")
 
 

@@ -75,7 +75,8 @@ def search_ranked(g: PropertyGraph, label: str, key: str, query: str, k: int, ix
     asked = query_tokens(g.spark, query)
     if not asked or key not in g.property_keys() or k <= 0:
         return g.spark.createDataFrame([], "id long, score double")
-    ix = ix or index(g, label, key)
+    if ix is None:
+        return _ranked_by_scan(g, label, key, asked, k)
     n, total = ix.lengths.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
     if not n:
         return g.spark.createDataFrame([], "id long, score double")
@@ -89,3 +90,22 @@ def search_ranked(g: PropertyGraph, label: str, key: str, query: str, k: int, ix
     norm = tf + K1 * (1 - B + B * F.col("len") / F.lit(total / n))
     scored = hits.join(ix.lengths, "id").select("id", (idf * tf * (K1 + 1) / norm).alias("s"))
     return scored.groupBy("id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def _ranked_by_scan(g: PropertyGraph, label: str, key: str, asked: list[str], k: int) -> DataFrame:
+    """The same ranking without an index: the query's tokens are counted within each text, so that nothing but the top rows is shuffled."""
+    terms = sorted(set(asked))
+    docs = g.with_label(label).select("id", tokenize(F.col(key)).alias("_t")).where(F.size("_t") > 0)
+    count = lambda t: F.size(F.filter("_t", lambda x: x == t))
+    tf = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = docs.select("id", F.size("_t").alias("len"), *tf)
+    row = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"), *[F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))]).first()
+    if not row.n:
+        return g.spark.createDataFrame([], "id long, score double")
+    score, hit = F.lit(0.0), F.lit(False)
+    for i, t in enumerate(terms):
+        f, df = F.col(f"tf{i}").cast("double"), row[f"df{i}"]
+        norm = f + K1 * (1 - B + B * F.col("len") / F.lit(row.total / row.n))
+        score = score + F.lit(asked.count(t) * math.log(1 + (row.n - df + 0.5) / (df + 0.5))) * f * (K1 + 1) / norm
+        hit = hit | (F.col(f"tf{i}") > 0)
+    return counted.where(hit).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)

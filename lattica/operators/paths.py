@@ -62,22 +62,22 @@ def relax(edges: DataFrame, source: int, *, target: int | None = None, max_round
     """
     spark = edges.sparkSession
     edges = edges.where("w >= 0")
-    known = cut(spark.createDataFrame([(source, 0.0, None)], "id long, dist double, pred long"))
-    front, rounds = known, 0
-    while rounds < max_rounds:
-        rounds += 1
-        bound = None
+    # One table holds all that is known; ``fresh`` marks what the last round improved, which is what the next one follows.
+    known = cut(spark.createDataFrame([(source, 0.0, None, True)], "id long, dist double, pred long, fresh boolean"))
+    for _ in range(max_rounds):
+        front = known.where("fresh").select(F.col("id").alias("node"), "dist")
+        step = edges.join(front, "node").select(F.col("nbr").alias("id"), F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("node").alias("p")).alias("c"))
         if target is not None:
             row = known.where(F.col("id") == target).first()
-            bound = row.dist if row else None
-        step = edges.join(front.select(F.col("id").alias("node"), "dist"), "node").select(F.col("nbr").alias("id"), F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("node").alias("p")).alias("c"))
-        if bound is not None:
-            step = step.where(F.col("c.d") <= bound)
+            if row:
+                step = step.where(F.col("c.d") <= row.dist)
         best = step.groupBy("id").agg(F.min("c").alias("c")).select("id", F.col("c.d").alias("nd"), F.col("c.p").alias("np"))
-        front = cut(best.join(known, "id", "left").where("dist IS NULL OR nd < dist OR (nd = dist AND np < pred)").select("id", F.col("nd").alias("dist"), F.col("np").alias("pred")))
-        if front.isEmpty():
+        better = F.coalesce(F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")) | ((F.col("nd") == F.col("dist")) & (F.col("np") < F.col("pred")))), F.lit(False))
+        joined = known.drop("fresh").join(best, "id", "full").withColumn("fresh", better)
+        known = cut(joined.select("id", F.when(F.col("fresh"), F.col("nd")).otherwise(F.col("dist")).alias("dist"), F.when(F.col("fresh"), F.col("np")).otherwise(F.col("pred")).alias("pred"), "fresh"))
+        if known.where("fresh").isEmpty():
             break
-        known = cut(known.join(front, "id", "left_anti").unionByName(front))
+    known = known.drop("fresh")
     if target is not None:
         row = known.where(F.col("id") == target).first()
         if row:
