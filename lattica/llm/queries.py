@@ -8,10 +8,13 @@ from .language_id import op3_language_id
 from .license_scan import op1_license_scan
 from .mixing import op6_mixing
 from .ngram_join import op2_ngram_join
+from .oracles import ORACLES
 from .packing import op8_packing
 from .quality import op7_quality
 from .toxicity import op4_toxicity
-from .url_filter import OP9_SQL, op9_url_filter
+from .url_filter import op9_url_filter
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -26,4 +29,3 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLES = {"op9_url_filter": OP9_SQL}
