@@ -30,7 +30,8 @@ QUANTUM = 1024
 END = 2
 TOKENS_PER_SHARD = 2_000_000
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_WORDS = 400_000
+#: Words a worker remembers; at the end of that it starts anew.
+_CACHE_WORDS = 1_500_000
 
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -42,41 +43,92 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _encoder(path: str):
-    """(encode, cache): a word's ids as little-endian 16-bit bytes. Kept for the worker's life.
-
-    The tokenizer's normaliser and splitter never look across a blank, so words between blanks are encoded once and remembered.
-    """
+    """(tokenizer, whether an id ends a word, cache of a word's 16-bit ids). Kept for the worker's life."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        if tok.get_vocab_size() > 65536:
+        vocabulary = tok.get_vocab()
+        if len(vocabulary) > 65536:
             raise ValueError("ids over 16 bits")
-        _TOKENIZERS[path] = (tok, {"": b""})
+        ends = np.zeros(65536, bool)
+        ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (tok, ends, {"": b""})
     return _TOKENIZERS[path]
 
 
+#: Bytes of Latin-1 letters, ASCII digits and the blanks between words.
+_LETTERS = bytes(i for i in range(256) if chr(i).isalpha() or chr(i) in "0123456789 \n")
+
+
+def _plain(text: str) -> str:
+    """A text of the same ids with fewer distinct words between its blanks: lower case, commas and full stops on their own.
+
+    Only where that can't matter: no special token, nothing beyond Latin-1 (no composition, no case that depends on context), and
+    no comma or stop beside another sign, with which the splitter would take it together.
+    """
+    if "<|" in text:
+        return text.replace("\n", " ")
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ")
+    text = text.lower().replace("\n", " ")
+    signs = raw.translate(None, _LETTERS)
+    if signs and not signs.translate(None, b".,") and not (".." in text or ".," in text or ",." in text or ",," in text):
+        return text.replace(".", " . ").replace(",", " , ")
+    return text
+
+
+def _learn(words: set[str], tok, ends: np.ndarray, cache: dict[str, bytes]) -> None:
+    """Encode the words into the cache. A word of letters alone is one piece for the splitter: such words are encoded together, with
+    blanks between, and cut apart behind the ids that end a word."""
+    letters = [w for w in words if w.isalpha()]
+    rest = [w for w in words if not w.isalpha()]
+    for k in range(0, len(letters), 2000):
+        part = letters[k : k + 2000]
+        ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+        stops = ((np.flatnonzero(ends[ids]) + 1) * 2).tolist()
+        if len(stops) != len(part):  # a letter that the splitter takes for something else: each on its own
+            rest += part
+            continue
+        raw = ids.tobytes()
+        cache.update(zip(part, [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+    for k in range(0, len(rest), 2000):
+        part = rest[k : k + 2000]
+        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            cache[w] = np.array(e.ids, "<u2").tobytes()
+
+
+def _holes(ids: list[bytes | None]):
+    """Places of words that aren't known yet."""
+    at, n = -1, ids.count(None)
+    for _ in range(n):
+        at = ids.index(None, at + 1)
+        yield at
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """16-bit ids of every whole text (without the end id), as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
-    tok, cache = _encoder(path)
+    """16-bit ids of every whole text (without the end id), as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
+
+    The tokenizer's normaliser and splitter never look across a blank, so words between blanks are encoded once and remembered.
+    """
+    tok, ends, cache = _encoder(path)
     out = []
-    for lo in range(0, len(texts), 200):
-        split = [t.replace("\n", " ").split(" ") for t in texts[lo : lo + 200]]
-        fresh = list({w for words in split for w in words if w not in cache})
+    for lo in range(0, len(texts), 500):
+        split = [_plain(t).split(" ") for t in texts[lo : lo + 500]]
         if len(cache) > _CACHE_WORDS:
-            mine = {}
-        else:
-            mine = cache
-        for k in range(0, len(fresh), 2000):
-            part = fresh[k : k + 2000]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                mine[w] = np.array(e.ids, "<u2").tobytes()
-        if mine is cache:
-            out += [b"".join(map(cache.__getitem__, words)) for words in split]
-        else:
-            out += [b"".join([cache[w] if w in cache else mine[w] for w in words]) for words in split]
+            cache.clear()
+            cache[""] = b""
+        known = [list(map(cache.get, words)) for words in split]
+        holes = [(k, i) for k, ids in enumerate(known) for i in _holes(ids)]
+        if holes:
+            _learn({split[k][i] for k, i in holes}, tok, ends, cache)
+            for k, i in holes:
+                known[k][i] = cache[split[k][i]]
+        out += map(b"".join, known)
     return out
 
 
