@@ -57,12 +57,12 @@ def _compressor(dictionary: bytes):
 
 
 def features(texts: list[bytes], good, bad) -> np.ndarray:
-    """Normalised size difference (towards good), size over length, and log length of every text."""
-    out = np.zeros((len(texts), 4))
+    """Normalised size difference (towards good), size over length, both again by log length (short texts compress differently), log length."""
+    out = np.zeros((len(texts), 6))
     for i, t in enumerate(texts):
         g, b = len(good.compress(t)), len(bad.compress(t))
-        out[i] = (b - g) / (b + g), (b + g) / (2.0 * (len(t) + 16)), math.log1p(len(t)), 1.0
-    out[:, 2] /= 10
+        diff, ratio, size = (b - g) / (b + g), (b + g) / (2.0 * (len(t) + 16)), math.log1p(len(t)) / 10
+        out[i] = diff, ratio, size, diff * size, ratio * size, 1.0
     return out
 
 
