@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 _SHIPPED: set[str] = set()
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -20,8 +22,18 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows and bytes of one Arrow batch: whole texts are long rows, and a batch is held several times over in a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, so that Python workers import it wherever they run."""
+    """Send the package to the executors once per application, so that Python workers import it wherever they run.
+
+    Arrow batches are made small where the session doesn't set them itself.
+    """
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -34,16 +46,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a fresh temporary folder only where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lattica-scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

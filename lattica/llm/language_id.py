@@ -127,6 +127,7 @@ def drop_unknown(docs: DataFrame, model: LanguageModel, *, languages: frozenset[
             found = [predict_text(t, m, vectors)[0] for t in batch.column(at).to_pylist()]
             keep = [x != UNKNOWN and (languages is None or x in languages) for x in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        trigram_vectors.cache_clear()  # workers live on for other operators
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -157,6 +158,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("
             found = [predict_text(t, m, vectors) for t in batch.column(batch.num_columns - 1).to_pylist()]
             langs, scores = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+        trigram_vectors.cache_clear()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")

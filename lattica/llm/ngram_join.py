@@ -31,9 +31,9 @@ NUM, DEN = 4, 5  # the least similarity, 0.8
 CHUNK = 256
 HUBS = 12
 SALT_ROWS = 1024
-SHINGLES_PER_TASK = 4_000_000
+SHINGLES_PER_TASK = 1_500_000
 _SLICE = 1_000_000
-_FLUSH = 3_000_000
+_FLUSH = 1_500_000
 _BITS = 40
 
 
