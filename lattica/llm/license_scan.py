@@ -42,7 +42,8 @@ class Signature:
     also: str = ""  # a second word that its texts hold
 
 
-#: label, name as a regex, keyword every text with the name holds (lower case), address regex or "".
+#: label, name as a regex, keyword every text with the name holds (lower case), address regex or "". Alternatives without a
+#: keyword in common have a row each.
 FAMILIES = (
     ("mit", r"mit", "mit", r"opensource\.org/licenses/mit"),
     ("mit-0", r"mit no attribution", "attribution", r"opensource\.org/licenses/mit-0"),
@@ -91,7 +92,8 @@ FAMILIES = (
     ("apsl-2.0", r"apple public source license(?:,? (?:version )?2\.0)?", "apple public", r"opensource\.apple\.com/apsl"),
     ("ibm-pl", r"ibm public license", "ibm", r"opensource\.org/licenses/ibmpl"),
     ("qpl-1.0", r"q public license", "q public", r"opensource\.org/licenses/qpl-1\.0"),
-    ("python-2.0", r"(?:python software foundation license|psf license)", "psf", r"python\.org/psf/license"),
+    ("python-2.0", r"psf license", "psf", r"python\.org/psf/license"),
+    ("python-2.0", r"python software foundation license", "python", ""),
     ("php-3.01", r"php license(?:,? version 3\.01)?", "php", r"php\.net/license/3_01"),
     ("ruby", r"ruby license", "ruby", r"ruby-lang\.org/en/about/license"),
     ("perl", r"same terms as perl itself", "perl", r"dev\.perl\.org/licenses"),
@@ -105,7 +107,8 @@ FAMILIES = (
     ("odbl-1.0", r"open database license", "open database", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by-1.0", r"open data commons attribution license", "open data commons", r"opendatacommons\.org/licenses/by"),
     ("pddl-1.0", r"public domain dedication and license", "public domain", r"opendatacommons\.org/licenses/pddl"),
-    ("cc0-1.0", r"(?:cc0(?: 1\.0)?|creative commons zero)", "cc0", r"creativecommons\.org/publicdomain/zero"),
+    ("cc0-1.0", r"cc0(?: 1\.0)?", "cc0", r"creativecommons\.org/publicdomain/zero"),
+    ("cc0-1.0", r"creative commons zero", "creative", ""),
     ("cc-pdm-1.0", r"public domain mark(?: 1\.0)?", "public domain", r"creativecommons\.org/publicdomain/mark"),
     ("cc-by", r"cc[- ]by(?: [1-4]\.0)?", "cc", r"creativecommons\.org/licenses/by/"),
     ("cc-by", r"creative commons attribution(?: [1-4]\.0)?", "creative", ""),
@@ -135,7 +138,8 @@ FAMILIES = (
     ("json", r"shall be used for good,? not evil", "not evil", r"json\.org/license"),
     ("beerware", r"beer-?ware", "ware", ""),
     ("mulan-2.0", r"mulan p(?:ermissive )?s(?:oftware )?l(?:icense)?,? v(?:ersion )?2", "mulan", r"license\.coscl\.org\.cn/mulanpsl2"),
-    ("etalab-2.0", r"(?:etalab|licence ouverte)(?:[ /]+etalab)?(?: v?2\.0)?", "ouverte", r"etalab\.gouv\.fr/licence-ouverte"),
+    ("etalab-2.0", r"licence ouverte(?:[ /]+etalab)?(?: v?2\.0)?", "ouverte", r"etalab\.gouv\.fr/licence-ouverte"),
+    ("etalab-2.0", r"etalab(?:[ /]+etalab)?(?: v?2\.0)?", "etalab", ""),
 )
 
 #: priority, confidence of the forms; a tag and an address name a licence outright, a bare name may only mention it.
@@ -144,6 +148,8 @@ TAG, ADDRESS, GRANT, NAME = (40, 1.0), (30, 0.95), (20, 0.9), (10, 0.6)
 _BARE_TOO_SHORT = frozenset({"mit", "isc", "zlib", "vim", "cc-by"})
 #: Names that can do without the word "license" though it stands in their regex.
 _LICENSE_OPTIONAL = frozenset({"etalab-2.0", "mulan-2.0"})
+#: Tags, as regexes, that aren't the label as it stands.
+_TAGS = {"apache-2": r"apache-2(?:[.]0)?"}
 
 
 _GRANTED = r"(?:(?:re)?licen[sc]ed|released|distributed|available|published|made)\s+(?:\w+\s+){0,2}"
@@ -161,7 +167,8 @@ def signatures() -> list[Signature]:
         keyword = max(words.split(), key=len)
         if label not in tagged:
             tagged.add(label)
-            out.append(Signature(label, "spdx", rf"spdx-license-identifier:\s*{label.replace('.', '[.]')}(?:-only|-or-later|\+)?(?![\w.-])", *TAG))
+            tag = _TAGS.get(label, label.replace(".", "[.]"))
+            out.append(Signature(label, "spdx", rf"spdx-license-identifier:\s*{tag}(?:-only|-or-later|\+)?(?![\w.-])", *TAG))
         if address:
             out.append(Signature(label, address.split("/")[0].replace("\\", "").lower(), rf"https?://(?:www\.)?{address}(?![a-z])", *ADDRESS))
         grant = rf"(?<!\w){_GRANTED}under\s+(?:the\s+(?:terms\s+of\s+the\s+)?)?{_loose(name)}(?!\w)(?:\s+licen[cs]e)?"
@@ -179,7 +186,7 @@ def signatures() -> list[Signature]:
 #: Single words only, as white space between words may be a line's end. "cc by" and grants have tests of their own.
 GATE = (
     "licen", "spdx", "://", "cc0", "bsd", "creative", "reserved", "confidential", "public", "beerware", "beer-ware", "cecill", "ouverte", "etalab",
-    "mulan", "rail", "evil", "perl", "granted", "permission", "redistribution",
+    "mulan", "rail", "evil", "perl", "granted", "permission", "redistribution", "attribution",
 )
 
 
@@ -195,6 +202,16 @@ def _any_of(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def _gate(low: Column) -> Column:
+    """Whether a lower-cased text can hold any signature's text at all."""
+    return _any_of(low, GATE) | (F.contains(low, F.lit("cc")) & low.rlike(r"cc[-+\s]by")) | (F.contains(low, F.lit("under")) & low.rlike(rf"{_GRANTED}under\s"))
+
+
+def _due(low: Column, rule: Column) -> Column:
+    """Whether a lower-cased text holds the words without which the rule finds nothing."""
+    return F.contains(low, rule["keyword"]) & F.contains(low, rule["also"])
+
+
 def _ends(text: Column, regex: Column, found: Column) -> Column:
     """(start, end) of every match: the pieces between matches and the matches, laid end to end."""
     pieces = F.split(text, regex, -1)
@@ -217,10 +234,8 @@ def detections(docs: DataFrame, *, key: str, text_col: str = "text", rules: list
         F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.also).alias("also"), F.lit("(?i)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("ord"))
         for i, r in enumerate(rules)
     ])
-    grants = rf"{_GRANTED}under\s"
-    gate = lambda low: _any_of(low, GATE) | (F.contains(low, F.lit("cc")) & low.rlike(r"cc[-+\s]by")) | (F.contains(low, F.lit("under")) & low.rlike(grants))
-    gated = docs.select(F.col(key), text.alias("_text")).where(_lowered(F.col("_text"), gate))
-    due = gated.select(key, "_text", F.explode(_lowered(F.col("_text"), lambda low: F.filter(table, lambda r: F.contains(low, r["keyword"]) & F.contains(low, r["also"])))).alias("r"))
+    gated = docs.select(F.col(key), text.alias("_text")).where(_lowered(F.col("_text"), _gate))
+    due = gated.select(key, "_text", F.explode(_lowered(F.col("_text"), lambda low: F.filter(table, lambda r: _due(low, r)))).alias("r"))
     hits = due.withColumn("_found", F.regexp_extract_all("_text", F.col("r.regex"), F.lit(0))).where(F.size("_found") > 0)
     spans = hits.select(key, "r.label", "r.priority", "r.confidence", "r.ord", F.explode(_ends(F.col("_text"), F.col("r.regex"), F.col("_found"))).alias("p"))
     flat = spans.select(key, "label", "priority", "confidence", "ord", F.col("p.s").alias("start"), F.col("p.e").alias("end"))

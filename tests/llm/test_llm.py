@@ -80,6 +80,46 @@ def test_license_rules_suppress_what_lies_inside(spark):
     assert len(license_scan.signatures()) > 250
 
 
+def written_out(items):
+    """Texts a parsed regex matches: every alternative, option and member of a set, a blank as a line's end."""
+    out = [""]
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = ["\n" if str(x) == "CATEGORY_SPACE" else "x" if o == "CATEGORY" else chr(x[0] if o == "RANGE" else x) for o, x in ((str(o), x) for o, x in arg)]
+        elif name == "BRANCH":
+            more = [x for branch in arg[1] for x in written_out(branch)]
+        elif name == "SUBPATTERN":
+            more = written_out(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [x * n for x in written_out(arg[2]) for n in {arg[0], max(arg[0], 1)}]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            more = [""]
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_license_gates_let_every_alternative_through(spark):
+    rules = license_scan.signatures()
+    rows = [(r.label, r.keyword, r.also, r.regex, x) for r in rules for x in written_out(re._parser.parse(r.regex, re.I))]
+    assert len(rows) > 5_000 and all(re.search(r[3], r[4], re.I) for r in rows)
+    low = F.lower("text")
+    df = spark.createDataFrame(rows, "label string, keyword string, also string, regex string, text string")
+    assert df.where(~license_scan._gate(low) | ~license_scan._due(low, F.struct("keyword", "also"))).select("label", "text").take(5) == []
+    texts = {
+        1: "Creative Commons Zero v1.0 Universal", 2: "under the Python Software Foundation License", 3: "Etalab 2.0", 4: "MIT No Attribution", 5: "SPDX-License-Identifier: Apache-2.0",
+        6: "released under Creative Commons Zero", 7: "Licence Ouverte / Etalab 2.0", 8: "CC0 1.0", 9: "the PSF license", 10: "SPDX-License-Identifier: Apache-2.1",
+    }
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(docs_of(spark, list(texts.items()))).collect()}
+    assert got == {
+        1: ("cc0-1.0", 0.6), 2: ("python-2.0", 0.6), 3: ("etalab-2.0", 0.6), 4: ("mit-0", 0.6), 5: ("apache-2", 1.0),
+        6: ("cc0-1.0", 0.9), 7: ("etalab-2.0", 0.6), 8: ("cc0-1.0", 0.6), 9: ("python-2.0", 0.6), 10: ("", 0.0),
+    }
+
+
 # ---- n-gram join -------------------------------------------------------------------------------------------------------
 
 
