@@ -1,11 +1,13 @@
 """Document fingerprints by improbable features.
 
-A text's UTF-8 bytes are read through windows of 64 bytes (16 where the text has under 512 bytes, 8 under 64). A window's Shannon entropy, kept up byte by byte, says how likely it is
-to be met by chance: the nearer it is to what ordinary text has, the more common; the rank of a window is its distance from
+A text's UTF-8 bytes are read through windows of 8 bytes, of 16 as well where it has 64 bytes or more, and of 64 as well where it
+has 512 or more. A window's Shannon entropy, kept up byte by byte, says how likely it is to be met by chance: the nearer it is to what ordinary text has, the more common; the rank of a window is its distance from
 there, and windows of little entropy (runs, padding) are left out. A window with the best rank among its neighbours is a
-feature. Features go, in order, into a chain of Bloom filters of 2048 bits, five bits each, at most 160 features to a filter.
-The likeness of two fingerprints compares each filter of the shorter chain with its best match in the other: the bits in
-common beyond those expected by chance, over the most there could be, averaged.
+feature. Features go, in order, into a chain of Bloom filters of 2048 bits, five bits each, at most 160 features to a filter;
+each width has a chain of its own, and a filter comes after a byte that tells its width. The likeness of two fingerprints
+is that of their chains of the largest width both have, so that texts of any two sizes are comparable. It compares each filter
+of the shorter chain with its best match in the other: the bits in common beyond those expected by chance, over the most there
+could be, averaged.
 
 A text of under 8 bytes has one feature, itself; an empty (or null) one has none and an empty fingerprint. Two empty
 fingerprints have likeness 1, an empty and another one 0; equal texts have equal fingerprints and likeness 1.
@@ -37,8 +39,8 @@ _SCALE = 1 << 20
 _TYPICAL, _LEAST = 0.68, 0.33
 
 
-def window_of(n_bytes: int) -> int:
-    return WINDOW if n_bytes >= 512 else 16 if n_bytes >= 64 else 8
+def widths_of(n_bytes: int) -> list[int]:
+    return [w for w, least in ((WINDOW, 512), (16, 64), (8, 0)) if n_bytes >= least]
 
 
 @lru_cache(maxsize=1)
@@ -99,27 +101,33 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def features(data: bytes) -> np.ndarray:
-    """64-bit hashes of a text's selected windows, in order."""
+def features(data: bytes) -> dict[int, np.ndarray]:
+    """64-bit hashes of a text's selected windows, in order, by width."""
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64)
+        return {}
     size = 1 << max(12, (n + 1).bit_length())
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values()[raw] * _powers(_BASE, size)[:n], out=total[1:])
-    width = window_of(n)
-    if n < width:
-        at, width = np.zeros(1, np.int64), n
-    else:
-        reach = width // 2  # a feature has the best rank within this many windows on either side
-        rank = _ranks(_entropies(raw, width), width).astype(np.int64)
-        # Of equal ranks the leftmost is best; texts without any window that counts have one feature, their first window.
-        key = rank * (n + 1) + np.arange(len(rank))
-        padded = np.full(len(key) + 2 * reach, np.iinfo(np.int64).max)
-        padded[reach : reach + len(key)] = key
-        at = np.flatnonzero((key == _window_min(padded, 2 * reach + 1)) & (rank < 1 << 30))
-        at = at if len(at) else np.zeros(1, np.int64)
+    return {width: _hashes(total, size, *_selected(raw, width)) for width in widths_of(n)}
+
+
+def _selected(raw: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """Where the features of a width start, and how long they are (a text under the width is one feature)."""
+    if len(raw) < width:
+        return np.zeros(1, np.int64), len(raw)
+    reach = width // 2  # a feature has the best rank within this many windows on either side
+    rank = _ranks(_entropies(raw, width), width).astype(np.int64)
+    # Of equal ranks the leftmost is best; texts without any window that counts have one feature, their first window.
+    key = rank * (len(raw) + 1) + np.arange(len(rank))
+    padded = np.full(len(key) + 2 * reach, np.iinfo(np.int64).max)
+    padded[reach : reach + len(key)] = key
+    at = np.flatnonzero((key == _window_min(padded, 2 * reach + 1)) & (rank < 1 << 30))
+    return (at if len(at) else np.zeros(1, np.int64)), width
+
+
+def _hashes(total: np.ndarray, size: int, at: np.ndarray, width: int) -> np.ndarray:
     h = (total[at + width] - total[at]) * _powers(_INVERSE, size)[at] + np.uint64(width)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -127,22 +135,25 @@ def features(data: bytes) -> np.ndarray:
 
 
 def digest(data: bytes) -> np.ndarray:
-    """The chain of Bloom filters: (filters, 256) bytes."""
-    h = features(data)
-    k = -(-len(h) // PER_FILTER)
-    bits = np.zeros((k, BITS), bool)
-    if k:
+    """The chains of Bloom filters, widest first: (filters, 1 + 256) bytes, the first of each its width."""
+    chains = [np.zeros((0, 1 + BITS // 8), np.uint8)]
+    for width, h in features(data).items():
+        k = -(-len(h) // PER_FILTER)
+        bits = np.zeros((k, BITS), bool)
         at = (h[:, None] >> (np.arange(PROBES, dtype=np.uint64) * np.uint64(11))) & np.uint64(BITS - 1)
         bits[np.repeat(np.arange(len(h)) // PER_FILTER, PROBES), at.ravel().astype(np.int64)] = True
-    return np.packbits(bits, axis=1)
+        chains.append(np.concatenate([np.full((k, 1), width, np.uint8), np.packbits(bits, axis=1)], axis=1))
+    return np.concatenate(chains)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Normalised bit overlap of two chains, 0 to 1."""
+    """Normalised bit overlap of two fingerprints at the largest width both have, 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if a.shape == b.shape and np.array_equal(a, b):
         return 1.0
+    width = min(a[0, 0], b[0, 0])
+    a, b = a[a[:, 0] == width, 1:], b[b[:, 0] == width, 1:]
     if len(a) > len(b):
         a, b = b, a
     x, y = np.unpackbits(a, axis=1).astype(np.float32), np.unpackbits(b, axis=1).astype(np.float32)
@@ -158,7 +169,7 @@ def encode(chain: np.ndarray) -> str:
 
 
 def decode(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, BITS // 8)
+    return np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, 1 + BITS // 8)
 
 
 def edited(text: str, following: str) -> str:

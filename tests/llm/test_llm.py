@@ -299,6 +299,21 @@ def test_likeness_follows_shared_text():
     assert fingerprint.likeness(d(b""), d(b"")) == 1 and fingerprint.likeness(d(b""), d(a)) == 0
 
 
+def test_likeness_across_sizes():
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n))[:n]
+    near = lambda x, y: fingerprint.likeness(fingerprint.digest(x.encode()), fingerprint.digest(y.encode()))
+    for long, short in ((515, 505), (600, 450), (68, 62), (100, 50), (600, 60)):
+        for _ in range(10):
+            text = words(long)
+            assert near(text, text[:short]) > 0.6 and near(text[:short], text) > 0.6, (long, short)
+            assert near(text, words(short)) < 0.25, (long, short)
+    for n in (1000, 120):
+        text = words(n)
+        changed = fingerprint.edited(text, "end")
+        assert len(changed) == n // 2 + 3 and near(text, changed) > 0.6
+
+
 # ---- mixing ------------------------------------------------------------------------------------------------------------
 
 
