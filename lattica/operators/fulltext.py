@@ -70,10 +70,11 @@ def search(g: PropertyGraph, label: str, key: str, query: str, ix: FullTextIndex
     return hits.where(F.col("n") == len(asked)).select("id")
 
 
-def search_ranked(g: PropertyGraph, label: str, key: str, query: str, k: int, ix: FullTextIndex | None = None) -> DataFrame:
-    """(id, score): the best ``k`` nodes that hold any token by BM25; a token asked twice counts twice, ties go by id."""
+def search_ranked(g: PropertyGraph, label: str, key: str, query: str, k: int | None, ix: FullTextIndex | None = None) -> DataFrame:
+    """(id, score): the best ``k`` nodes that hold any token by BM25 (all of them, in no order, where ``k`` is None); a token asked
+    twice counts twice, ties go by id."""
     asked = query_tokens(g.spark, query)
-    if not asked or key not in g.property_keys() or k <= 0:
+    if not asked or key not in g.property_keys() or (k is not None and k <= 0):
         return g.spark.createDataFrame([], "id long, score double")
     if ix is None:
         return _ranked_by_scan(g, label, key, asked, k)
@@ -89,10 +90,14 @@ def search_ranked(g: PropertyGraph, label: str, key: str, query: str, k: int, ix
     tf = F.col("tf").cast("double")
     norm = tf + K1 * (1 - B + B * F.col("len") / F.lit(total / n))
     scored = hits.join(ix.lengths, "id").select("id", (idf * tf * (K1 + 1) / norm).alias("s"))
-    return scored.groupBy("id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return _best(scored.groupBy("id").agg(F.sum("s").alias("score")), k)
 
 
-def _ranked_by_scan(g: PropertyGraph, label: str, key: str, asked: list[str], k: int) -> DataFrame:
+def _best(scored: DataFrame, k: int | None) -> DataFrame:
+    return scored if k is None else scored.orderBy(F.desc("score"), "id").limit(k)
+
+
+def _ranked_by_scan(g: PropertyGraph, label: str, key: str, asked: list[str], k: int | None) -> DataFrame:
     """The same ranking without an index: the query's tokens are counted within each text, so that nothing but the top rows is shuffled."""
     terms = sorted(set(asked))
     docs = g.with_label(label).select("id", tokenize(F.col(key)).alias("_t")).where(F.size("_t") > 0)
@@ -108,4 +113,4 @@ def _ranked_by_scan(g: PropertyGraph, label: str, key: str, asked: list[str], k:
         norm = f + K1 * (1 - B + B * F.col("len") / F.lit(row.total / row.n))
         score = score + F.lit(asked.count(t) * math.log(1 + (row.n - df + 0.5) / (df + 0.5))) * f * (K1 + 1) / norm
         hit = hit | (F.col(f"tf{i}") > 0)
-    return counted.where(hit).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return _best(counted.where(hit).select("id", score.alias("score")), k)

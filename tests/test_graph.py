@@ -206,6 +206,17 @@ def test_full_text(spark, make):
     assert ranked == [2, 0] and ix.doc_count() == 3
 
 
+def test_full_text_union_has_no_limit(spark, make):
+    from lattica.plans import catalogue
+
+    g = make(labels={i: ["Doc"] for i in range(30)}, props={i: {"text": "fox" if i % 3 else "dog"} for i in range(30)})
+    for index in (None, fulltext.index(g, "Doc", "text")):
+        every, best = (fulltext.search_ranked(g, "Doc", "text", "fox", k, index) for k in (None, 1_000_000))
+        assert got(every) == got(best) and every.count() == 20 and fulltext.search_ranked(g, "Doc", "text", "fox", 0, index).isEmpty()
+    plan = catalogue.QUERIES["fts_union"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
+
+
 CITIES = {0: (51.5074, -0.1278), 1: (48.8566, 2.3522), 2: (40.7128, -74.0060)}
 
 
