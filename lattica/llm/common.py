@@ -54,7 +54,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _SCRATCH:
         atexit.register(release)
     _SCRATCH.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free(df: DataFrame | None) -> None:
+    """Delete the table behind a frame that ``written`` gave, when no later plan reads it."""
+    path = getattr(df, "scratch_path", None)
+    if path is not None:
+        _SCRATCH[:] = [x for x in _SCRATCH if x[1] != path]
+        _delete(df.sparkSession, path)
 
 
 def release() -> None:
@@ -62,9 +77,7 @@ def release() -> None:
     while _SCRATCH:
         spark, path = _SCRATCH.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may already be gone; the folder belongs to the cluster
             return
 
@@ -77,6 +90,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it needs to clash with no column (in any letter case)."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name = "_" + name
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0: rows that no model learns from. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -90,7 +114,26 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, total: int) -> DataFra
     """About ``rows`` of the ``total`` rows, chosen by a hash of ``key`` (the same rows on every run); all of them when they fit."""
     if total <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(20240229)), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+    return df.where(F.xxhash64(key, F.lit(20240229)).bitwiseAND(F.lit(2**63 - 1)) < F.lit(rows * 2**63 // total))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: tuple[int, int]) -> tuple[DataFrame, tuple[int, int]]:
+    """((doc_id, label, text) of about ``rows[k]`` labelled rows of each label k, how many rows have label 0 and 1).
+
+    Held-out rows, null ids, null texts and labels other than 0 and 1 are left out. An id that comes several times counts once:
+    with label 1 if any of its labels is, and with its least text. The sample is a table of its own, whole texts and all.
+    """
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out(F.col("doc_id")))
+    marks = marks.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+    found = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
+    totals = (found.n - found.ones, found.ones)
+    picked = None
+    for k in (0, 1):
+        part = bounded_sample(marks.where(F.col("label") == k), F.col("doc_id"), rows[k], totals[k])
+        picked = part if picked is None else picked.unionByName(part)
+    # About sum(rows) pairs of numbers, whatever the table's size: broadcast, so that no text but the sample's is shuffled.
+    own = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return written(own.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled"), totals
 
 
 def row_slices(lengths: np.ndarray, budget: int):

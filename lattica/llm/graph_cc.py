@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -26,9 +26,10 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         own = F.struct(F.xxhash64(F.col("node"), F.lit(k)).alias("h"), F.col("node").alias("id"))
         step = written(best.select("node", F.least(own, F.col("m"))["id"].alias("root")), "step")
         result = step if result is None else result.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        left = written(
+        before, left = left, written(
             left.join(step.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
             .where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        free(before)
     else:
         raise RuntimeError("connected components did not converge")
     if result is None:
