@@ -12,9 +12,9 @@ could be, averaged.
 A text of under 8 bytes has one feature, itself; an empty (or null) one has none and an empty fingerprint. Two empty
 fingerprints have likeness 1, an empty and another one 0; equal texts have equal fingerprints and likeness 1.
 
-Documents are ordered by doc_id, nulls first, then by their text, so that repeated ids have a defined order. Extra columns
-are not read. One document alone is its own next document. Ranges of ids are dealt to tasks; only the first row of each range
-goes to two tasks.
+Documents are ordered by doc_id, nulls first, then by a hash of their text, so that repeated ids have a defined order. Extra
+columns are not read. One document alone is its own next document. An empty table gives no rows. Ranges of that order are dealt
+to tasks; only the first row of each range goes to two tasks.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ BITS = 2048
 PER_FILTER = 160
 PROBES = 5
 BYTES_PER_TASK = 32_000_000
+MOST_RANGES = 20_000
 _SCALE = 1 << 20
 #: Entropy of ordinary text in a window, and what a window needs to count, as shares of the most there can be.
 _TYPICAL, _LEAST = 0.68, 0.33
@@ -179,33 +180,41 @@ def edited(text: str, following: str) -> str:
 
 
 def ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_task: int = BYTES_PER_TASK) -> tuple[DataFrame, int]:
-    """Rows (doc_id, text, part, ghost) by ranges of ids. The first row of a range comes a second time, as the ghost that ends
-    the range before (that of the whole table ends the last one). Only bounded values reach the driver: one id a range."""
+    """Rows (doc_id, h, text, part, ghost) by ranges of (doc_id, hash of the text). The first row of a range comes a second time, as
+    the ghost that ends the range before (that of the whole table ends the last one).
+
+    There are at most about ``MOST_RANGES`` ranges (a task streams through its sorted rows, so that a longer range needs no more
+    memory); an id of very many rows, or the null id, is split by hash. The driver reads one quantile and one first row a range.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    n, chars = docs.count(), rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, min(max(common.n_parts(spark), -(-chars // per_task)), n))
-    cuts = sorted({c for c in (ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100_000)).first()[0] or [])}) if parts > 1 else []
-    part = F.lit(0)
-    if cuts:
-        # The number of cuts at or below the id (a null id goes first): a binary search over the cuts, halving steps.
-        held = F.lit(cuts)
-        steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-        reach = lambda at, step: (at + step <= len(cuts)) & (F.element_at(held, F.least(at + step, F.lit(len(cuts)))) <= F.col("doc_id"))
-        part = F.coalesce(F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(reach(at, step), at + step).otherwise(at)), F.lit(0))
-    placed = rows.withColumn("part", part)
-    firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("k")).collect()
-    firsts.sort(key=lambda r: r.part)
-    ends = [(r.k.known, r.k.id, firsts[i - 1].part) for i, r in enumerate(firsts)]
-    # As many rows as ranges: small enough to broadcast whatever the table's size.
-    before = F.broadcast(spark.createDataFrame(ends, "known boolean, first_id long, before int"))
-    met = (F.col("known") & (F.col("doc_id") == F.col("first_id"))) | (~F.col("known") & F.col("doc_id").isNull())
-    same = F.coalesce(F.col("doc_id"), F.lit(0)) == F.coalesce(F.col("first_id"), F.lit(0))
-    ghosts = rows.join(before, same & met).select("doc_id", "text", F.col("before").alias("part"))
-    # One row a range: of several with the first id, only the first by text.
-    ghosts = ghosts.groupBy("part").agg(F.min_by(F.struct("doc_id", "text"), F.col("text")).alias("r")).select("r.doc_id", "r.text", "part", F.lit(True).alias("ghost"))
-    return placed.withColumn("ghost", F.lit(False)).unionByName(ghosts), len(cuts) + 1
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    n, known, chars = docs.agg(F.count("*"), F.count(id_col), F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()
+    wanted = max(1, min(max(common.n_parts(spark), -(-chars // per_task)), n, MOST_RANGES))
+    quantiles = [i / wanted for i in range(1, wanted)]
+    found = (docs.select(F.percentile_approx(F.col(id_col).cast("long"), quantiles, 100_000)).first()[0] or []) if quantiles else []
+    # A quantile met twice is an id of more than a range's rows: it gets a range of its own, cut by hash as often as it was met.
+    times = {c: found.count(c) for c in set(found)}
+    cuts = sorted({c + d for c, k in times.items() for d in ((0, 1) if k > 1 and c < 2**63 - 1 else (0,))})
+    slices = [-(-(n - known) * wanted // max(1, n)) or 1, 1, *[times.get(c, 1) for c in cuts]]  # null ids, ids below the first cut, then cut by cut
+    first = [sum(slices[:i]) for i in range(len(slices))]
+    held = F.lit(cuts or [0]).cast("array<bigint>")
+    steps = [1 << k for k in reversed(range(max(1, len(cuts)).bit_length()))]
+    reach = lambda at, step: (at + step <= len(cuts)) & (F.element_at(held, F.least(at + step, F.lit(max(1, len(cuts))))) <= F.col("doc_id"))
+    at = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(reach(at, step), at + step).otherwise(at)) + 2)
+    share = F.col("h") / F.lit(2.0**64) + 0.5
+    of = lambda values: F.element_at(F.lit(values).cast("array<int>"), F.col("_at"))
+    placed = rows.withColumn("_at", at).withColumn("part", of(first) + F.least(F.floor(share * of(slices)), of(slices) - 1).cast("int")).drop("_at")
+    parts = sum(slices)
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("k")
+    firsts = sorted(placed.groupBy("part").agg(least).collect(), key=lambda r: r.part)
+    ends = [(r.k.known, r.k.id if r.k.known else 0, r.k.h, firsts[i - 1].part) for i, r in enumerate(firsts)]
+    # As many rows as ranges, which are bounded: small enough to broadcast whatever the table's size.
+    before = F.broadcast(spark.createDataFrame(ends, "known boolean, first_id long, first_h long, before int"))
+    met = (F.col("doc_id").isNotNull() == F.col("known")) & (F.coalesce(F.col("doc_id"), F.lit(0)) == F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    # One row a range: of several with the first id and hash, only the first by text.
+    ghosts = rows.join(before, met).groupBy("before").agg(F.min_by(F.struct("doc_id", "h", "text"), F.col("text")).alias("r")).select("r.*", F.col("before").alias("part"), F.lit(True).alias("ghost"))
+    return placed.withColumn("ghost", F.lit(False)).unionByName(ghosts), parts
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +251,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         if out:
             yield batch_of()
 
-    dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("ghost", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("ghost", F.col("doc_id").asc_nulls_first(), "h", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.select("doc_id", "text", "ghost").mapInArrow(run, schema)
 
