@@ -1,10 +1,11 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills fixed windows of tokens.
 
-Documents are tokenised whole and end with an end id. A hash deals them to shards; a shard holds a queue for each source. A
-source's deficit is its target share of all tokens so far less what it was served; the source with the largest deficit is
-served next, up to ``quantum`` tokens or its document's or window's end, and deficits carry from window to window. They carry
-from shard to shard as well: every shard packs all it holds, so what the shards before it leave over is known from token counts
-alone, and each shard starts with that. A queue that is empty drops out; the others go on by their deficits.
+Documents are tokenised whole and end with an end id. A hash deals them to shards; a shard holds a queue for each source. The
+queues are served in rounds. In each round a source's deficit grows by its target share of the round's ``quantum`` tokens for
+each queue, and what the deficit covers is served, a document after the other, cut where the deficit or the window ends. What is
+left of a deficit goes on to the next round, over windows; and to the next shard as well: every shard packs all it holds, so what
+the shards before it leave over is known from token counts alone, and each shard starts with that. A queue that is empty drops
+out and its share of a round goes to the others.
 
 Every document is packed, so by default the target shares are the sources' shares of all tokens; ``weights`` gives others.
 Windows hold 4096 tokens; what a shard has beyond whole windows goes into windows of descending powers of two, which need no
@@ -172,28 +173,37 @@ class SourceQueues:
 
     def pack(self, total: int, window: int = WINDOW):
         """Pieces (doc, start, length, window number, offset) in the order they are served."""
-        idle = np.array([not q for q in self.queues])
-        self.deficits[idle] = -np.inf
-        start = 0
+        sizes = windows_of(total, window)
+        number = offset = 0
         begun = [0] * len(self.queues)
-        for number, size in enumerate(windows_of(total, window)):
-            offset = 0
-            while offset < size:
-                s = int(np.argmax(self.deficits))
-                queue, k = self.queues[s], self.at[s]
-                doc = queue[k]
-                n = min(self.quantum, doc.n - begun[s], size - offset)
-                start = begun[s]
-                yield doc, start, n, number, offset
-                offset += n
-                self.deficits += n * self.shares
-                self.deficits[s] -= n
-                begun[s] += n
-                if begun[s] == doc.n:
-                    begun[s], queue[k] = 0, None
-                    self.at[s] += 1
-                    if self.at[s] == len(queue):
-                        self.deficits[s] = -np.inf
+        active = [s for s, q in enumerate(self.queues) if q]
+        while active:
+            # A round: shares of the queues that are left, scaled so that a round is ``quantum`` tokens a queue.
+            share = np.maximum(self.shares[active], 1e-12)
+            gain = share / share.sum() * self.quantum * len(active)
+            # No queue can be served for some rounds where all are in debt: as many rounds at once.
+            short = (1 - self.deficits[active] - gain) / gain
+            self.deficits[active] += gain * (1 + max(0, int(np.floor(short.min()))))
+            left = []
+            for s in active:
+                queue = self.queues[s]
+                due = int(self.deficits[s])
+                while due > 0 and self.at[s] < len(queue):
+                    doc = queue[self.at[s]]
+                    n = min(due, doc.n - begun[s], sizes[number] - offset)
+                    yield doc, begun[s], n, number, offset
+                    begun[s] += n
+                    offset += n
+                    due -= n
+                    self.deficits[s] -= n
+                    if offset == sizes[number]:
+                        number, offset = number + 1, 0
+                    if begun[s] == doc.n:
+                        begun[s], queue[self.at[s]] = 0, None
+                        self.at[s] += 1
+                if self.at[s] < len(queue):
+                    left.append(s)
+            active = left
 
 
 class _Doc:
