@@ -120,10 +120,16 @@ def slot_blocks(spark: SparkSession, plan: DataFrame, cumulative: list[int], slo
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (rounded to whole documents), with all their columns."""
-    counts = mix_documents(docs).where("size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies"))
-    joined = docs.join(counts.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    """The rows of ``docs`` as often as the mix takes them (rounded to whole documents), with all their columns of any names.
+
+    Null and empty texts, and texts without a word, have nothing to give and go. Rows that repeat an id (or have none) share what the
+    mix takes of them all, each coming equally often. An empty table gives no rows.
+    """
+    of, copies, one = common.unused(docs, "_of", "_copies", "_copy")
+    taken = mix_documents(docs).where("size > 0").groupBy(F.col("doc_id").alias(of)).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(copies))
+    wordy = docs.where(F.coalesce(F.col("text").rlike(WORDS), F.lit(False)))
+    joined = wordy.join(taken.where(F.col(copies) > 0), F.col("doc_id").eqNullSafe(F.col(of)))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(one)).drop(one)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
