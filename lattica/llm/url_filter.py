@@ -1,8 +1,10 @@
 """URL filters: host-suffix and path-prefix expressions, an equi-join on short hash prefixes, then full digests and precedence.
 
-Every URL yields the expressions ``suffix + path[:n]`` for each host suffix (dot by dot) and each path length ``n`` that a rule
-has. Expressions meet the rules on the first 4 bytes of their SHA-256 digest; the whole digest confirms a match, and of the
-confirmed rules the longest wins (host and path together; then by the longer host, then blocking first).
+Every URL yields the expressions ``suffix + path[:n]`` for each host suffix of as many labels as a rule's host has, and each path
+length ``n`` that a rule has: a host of very many labels costs no more than its length. Expressions meet the rules on the first 4
+bytes of their SHA-256 digest; the whole digest confirms a match, and of the confirmed rules the longest wins (host and path
+together; then by the longer host, then blocking first). The winner is found row by row, before and after one shuffle by row
+number, so that a frequent host isn't gathered anywhere.
 
 Nulls, urls without ``://``: host and path are empty, no rule fits, the verdict is the default. Repeated rows keep their own
 result rows. Only ``id`` and ``url`` are read, so further columns of any name are harmless. An empty table gives no rows.
@@ -50,44 +52,37 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """All expressions of a url: host suffixes times the path's prefixes of the given lengths (none where the path is shorter)."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    )
+def expressions(host: Column, path: Column, depths: Sequence[int], lengths: Sequence[int]) -> Column:
+    """All expressions of a url: host suffixes of the given numbers of labels (none where the host has fewer) times the path's
+    prefixes of the given lengths (none where the path is shorter)."""
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    suffixes = F.array_compact(F.array(*[F.when((host != "") & (dots >= k - 1), F.substring_index(host, ".", -k)) for k in depths]))
     wanted = F.filter(F.array(*[F.lit(int(n)) for n in lengths]), lambda n: n <= F.length(path))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(wanted, lambda n: F.concat(s, F.substring(path, F.lit(1), n)))))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
-    rows = [(r.text, r.host, r.verdict, len(r.text), len(r.host)) for r in rules]
-    df = spark.createDataFrame(rows, "rule string, rule_host string, verdict string, rule_len int, host_len int")
+    """(rule, verdict, ord, digest, short); a higher ``ord`` wins. Of rules with the same text and verdict one is kept."""
+    ranked = sorted(set(rules), key=lambda r: (len(r.text), len(r.host), r.verdict == "block", r.text))
+    df = spark.createDataFrame([(r.text, r.verdict, i) for i, r in enumerate(ranked)], "rule string, verdict string, ord int")
     digest = F.unhex(F.sha2(F.col("rule"), 256))
     return df.select("*", digest.alias("digest"), F.substring(digest, 1, 4).alias("short"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[UrlRule] = BASE_RULES, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per row of ``pages``: id, host, path, winning rule (or null), verdict."""
-    spark = pages.sparkSession
     base = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    lengths = sorted({len(r.path) for r in rules})
     if not rules:
         return base.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    table = rule_table(spark, rules)
+    lengths, depths = sorted({len(r.path) for r in rules}), sorted({r.host.count(".") + 1 for r in rules})
+    table = rule_table(pages.sparkSession, rules)
     if len(rules) <= BROADCAST_RULES:
         table = F.broadcast(table)
-    # Distinct (host, path head) pairs meet the rules once, however often they occur: a hot host is pre-aggregated.
-    head = F.substring(F.col("path"), 1, lengths[-1])
-    keyed = base.withColumn("head", head)
-    heads = keyed.select("host", "head").distinct()
-    digest = F.unhex(F.sha2(F.col("expr"), 256))
-    exprs = heads.select("host", "head", F.explode(expressions(F.col("host"), F.col("head"), lengths)).alias("expr")).select(
-        "host", "head", digest.alias("full"), F.substring(digest, 1, 4).alias("short")
-    )
-    rank = F.struct("rule_len", "host_len", (F.col("verdict") == "block").alias("blocks"), "rule", "verdict")
-    won = exprs.join(table, "short").where(F.col("full") == F.col("digest")).groupBy("host", "head").agg(F.max(rank).alias("won"))
-    return keyed.join(won, ["host", "head"], "left").select(
+    numbered = base.withColumn("row", F.monotonically_increasing_id())
+    each = numbered.select("*", F.explode_outer(expressions(F.col("host"), F.col("path"), depths, lengths)).alias("expr")).withColumn("full", F.unhex(F.sha2(F.col("expr"), 256)))
+    met = each.withColumn("short", F.substring("full", 1, 4)).join(table, "short", "left")
+    won = F.max(F.when(F.col("full") == F.col("digest"), F.struct("ord", "rule", "verdict"))).alias("won")
+    return met.groupBy("row", F.col(id_col), "host", "path").agg(won).select(
         id_col, "host", "path", F.col("won.rule").alias("rule"), F.coalesce(F.col("won.verdict"), F.lit(default)).alias("verdict")
     )
 
@@ -99,7 +94,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH p AS (
   SELECT page_id,
-         coalesce(lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)), '') AS host,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 r(rule_host, rule_path, verdict) AS (VALUES
