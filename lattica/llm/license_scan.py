@@ -1,7 +1,7 @@
 """Licence scan: ordered signature rules over whole texts, in DataFrame functions only.
 
-Each licence gives several signature rules (an SPDX tag, a web address, a grant sentence, a bare name); a rule runs only on
-texts that hold its keyword. Rules have a priority: a detection inside the interval of one of a higher priority is dropped, and
+Each licence gives several signature rules (an SPDX tag, a web address, a grant, a bare name, from one row of ``FAMILIES``), and the
+sentences of licences and their notices are rules of their own (``SENTENCES``); a rule runs only on texts that hold its keyword. Rules have a priority: a detection inside the interval of one of a higher priority is dropped, and
 so is one inside a longer (or the same, earlier ruled) interval of its own priority.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. Base phrases are counted over all places.
@@ -12,6 +12,7 @@ columns are not read, an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import json
 import operator
 from dataclasses import dataclass
 
@@ -152,6 +153,78 @@ _LICENSE_OPTIONAL = frozenset({"etalab-2.0", "mulan-2.0"})
 _TAGS = {"apache-2": r"apache-2(?:[.]0)?"}
 
 
+#: label, a word that every text of the rule holds, a sentence of the licence or of its usual notice. A blank stands for any white space.
+SENTENCES = (
+    ("mit", "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("mit", "merchantability", r"the software is provided [\"'\u201c]?as is[\"'\u201d]?, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability"),
+    ("mit", "permission", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", "permission", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\. the software is provided"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "endorse", r"neither the name of (?:the )?\S+(?: \S+){0,9}? nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display"),
+    ("apache-2", "compliance", r"you may not use this file except in compliance with the license"),
+    ("apache-2", "apache", r"you may obtain a copy of the license at https?://www\.apache\.org/licenses/license-2\.0"),
+    ("apache-2", "distributed", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an"),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("gpl-2.0", "published", r"under the terms of the gnu general public license as published by the free software foundation; either version 2(?: of the license)?, or \(at your option\) any later version"),
+    ("gpl-3.0", "published", r"under the terms of the gnu general public license as published by the free software foundation,? either version 3(?: of the license)?, or \(at your option\) any later version"),
+    ("gpl", "received", r"you should have received a copy of the gnu general public license along with this program"),
+    ("gpl-2.0", "freedom", r"the licenses for most software are designed to take away your freedom to share and change it\. by contrast, the gnu general public license"),
+    ("gpl-3.0", "copyleft", r"the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("lgpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "received", r"you should have received a copy of the gnu (?:lesser|library) general public license along with this library"),
+    ("agpl", "affero", r"you can redistribute it and/or modify it under the terms of the gnu affero general public license"),
+    ("agpl", "affero", r"you should have received a copy of the gnu affero general public license along with this program"),
+    ("gfdl", "documentation", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1\.1"),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license, v\. 2\.0"),
+    ("epl-1.0", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license v1\.0"),
+    ("epl-2.0", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v\. )?2\.0"),
+    ("cddl-1.0", "development", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl-1.0", "accompanying", r"the accompanying program is provided under the terms of this common public license"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such, and must not be misrepresented"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "dedicate", r"the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("artistic-2.0", "package", r"this license establishes the terms under which a given free software package may be copied, modified, distributed, and/or redistributed"),
+    ("bsl-1.0", "boost", r"boost software license - version 1\.0 - august 17th, 2003"),
+    ("bsl-1.0", "organization", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("busl-1.1", "production", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work"),
+    ("sspl-1.0", "service", r"if you make the functionality of the program or a modified version available to third parties as a service, you must make the service source code available"),
+    ("elastic-2.0", "managed", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("eupl-1.2", "eupl", r"licensed under the eupl(?:,| ) version 1\.2"),
+    ("python-2.0", "psf", r"psf hereby grants licensee a nonexclusive, royalty-free, world-?wide license"),
+    ("postgresql", "postgresql", r"postgresql is released under the postgresql license"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("x11", "consortium", r"except as contained in this notice, the name of the x consortium shall not be used in advertising"),
+    ("ncsa", "illinois", r"neither the names of \S+(?: \S+){0,9}? university of illinois"),
+    ("upl-1.0", "lrgrwrks", r"software and/or hardware listed in the lrgrwrks\.txt file"),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font license, version 1\.1"),
+    ("odbl-1.0", "database", r"this \S+(?: \S+){0,9}? is made available under the open database license"),
+    ("pddl-1.0", "domain", r"this \S+(?: \S+){0,9}? is made available under the public domain dedication and license"),
+    ("cc0-1.0", "waived", r"to the extent possible under law, \S+(?: \S+){0,19}? has waived all copyright and related or neighbou?ring rights"),
+    ("cc-by", "creative", r"this work is licensed under a creative commons attribution (?:[1-4]\.0 )?(?:international|unported) license"),
+    ("cc-by-sa", "creative", r"this work is licensed under a creative commons attribution-sharealike (?:[1-4]\.0 )?(?:international|unported) license"),
+    ("cc-by-nc", "creative", r"this work is licensed under a creative commons attribution-noncommercial (?:[1-4]\.0 )?(?:international|unported) license"),
+    ("cc-by-nc-sa", "creative", r"this work is licensed under a creative commons attribution-noncommercial-sharealike (?:[1-4]\.0 )?(?:international|unported) license"),
+    ("cc-by-nc-nd", "creative", r"this work is licensed under a creative commons attribution-noncommercial-noderivatives (?:[1-4]\.0 )?(?:international|unported) license"),
+    ("openrail", "restrictions", r"use-based restrictions as referenced in paragraph 5"),
+    ("llama", "llama", r"llama [0-9](?:\.[0-9])? is licensed under the llama"),
+    ("ogl-uk-3.0", "information", r"contains public sector information licensed under the open government licen[cs]e v3\.0"),
+    ("cecill-2.1", "cecill", r"this software is governed by the cecill license under french law"),
+    ("beerware", "beer", r"if we meet some day, and you think this stuff is worth it, you can buy me a beer in return"),
+    ("json", "evil", r"the software shall be used for good, not evil"),
+    ("perl", "perl", r"you can redistribute it and/or modify it under the same terms as perl itself"),
+    ("ruby", "ruby", r"you can redistribute it and/or modify it under either the terms of the (?:2-clause bsdl|gpl) \S+(?: \S+){0,9}? ruby"),
+    ("proprietary", "proprietary", r"this software is (?:the )?(?:confidential and )?proprietary (?:information|property) of"),
+    ("proprietary", "reproduced", r"no part of this (?:publication|document|work) may be reproduced,? \S+(?: \S+){0,19}? without the prior written (?:permission|consent)"),
+    ("confidential", "confidential", r"this (?:document|e-?mail|message) (?:contains|may contain) confidential information"),
+)
+
 _GRANTED = r"(?:(?:re)?licen[sc]ed|released|distributed|available|published|made)\s+(?:\w+\s+){0,2}"
 
 
@@ -176,9 +249,8 @@ def signatures() -> list[Signature]:
         tail = r"\s+licen[cs]e(?!\w)" if label in _BARE_TOO_SHORT else r"(?!\w)"
         also = "licen" if "licen" in name + tail and label not in _LICENSE_OPTIONAL else ""
         out.append(Signature(label, keyword, rf"(?<!\w){_loose(name)}{tail}", *NAME, also))
-    out.append(Signature("mit", "permission", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person", *GRANT))
-    out.append(Signature("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", *GRANT))
-    out.append(Signature("bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", *GRANT))
+    for label, word, sentence in SENTENCES:
+        out.append(Signature(label, word, _loose(sentence), *GRANT))
     return out
 
 
@@ -186,7 +258,9 @@ def signatures() -> list[Signature]:
 #: Single words only, as white space between words may be a line's end. "cc by" and grants have tests of their own.
 GATE = (
     "licen", "spdx", "://", "cc0", "bsd", "creative", "reserved", "confidential", "public", "beerware", "beer-ware", "cecill", "ouverte", "etalab",
-    "mulan", "rail", "evil", "perl", "granted", "permission", "redistribution", "attribution",
+    "mulan", "rail", "evil", "perl", "granted", "permission", "redistribution", "attribution", "merchantability", "misrepresented", "advertising", "warranty",
+    "endorse", "redistribute", "unencumbered", "dedicate", "managed", "waived", "proprietary", "reproduced", "beer", "openssl", "illinois",
+    "functionality", "use-based", "lrgrwrks", "apache",
 )
 
 
@@ -230,10 +304,9 @@ def detections(docs: DataFrame, *, key: str, text_col: str = "text", rules: list
     """Surviving detections (key, label, start, end, priority, confidence) of all rules over whole texts; ``key`` must be unique."""
     rules = signatures() if rules is None else rules
     text = F.coalesce(F.col(text_col), F.lit(""))
-    table = F.array(*[
-        F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.also).alias("also"), F.lit("(?i)" + r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("ord"))
-        for i, r in enumerate(rules)
-    ])
+    facts = [{"label": r.label, "keyword": r.keyword, "also": r.also, "regex": "(?i)" + r.regex, "priority": r.priority, "confidence": r.confidence, "ord": i} for i, r in enumerate(rules)]
+    # One text that the optimizer turns into a constant, instead of a column for each fact of each rule.
+    table = F.from_json(F.lit(json.dumps(facts)), "array<struct<label:string,keyword:string,also:string,regex:string,priority:int,confidence:double,ord:int>>")
     gated = docs.select(F.col(key), text.alias("_text")).where(_lowered(F.col("_text"), _gate))
     due = gated.select(key, "_text", F.explode(_lowered(F.col("_text"), lambda low: F.filter(table, lambda r: _due(low, r)))).alias("r"))
     hits = due.withColumn("_found", F.regexp_extract_all("_text", F.col("r.regex"), F.lit(0))).where(F.size("_found") > 0)
