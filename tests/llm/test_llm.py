@@ -194,6 +194,43 @@ def test_prefix_tree_finds_all_links():
     assert links == want
 
 
+@pytest.mark.parametrize("frequent", [2, 3, 10**6])
+def test_ngram_join_with_frequent_shingles(spark, monkeypatch, frequent):
+    """A line of all documents takes the way of frequent shingles, in some tasks and not in others."""
+    rng = random.Random(31)
+    line = "this very line stands at the head of all of them"
+    rows = [(i, line + " " + text) for i, text in enumerate([t for _ in range(12) for t in near_copies(rng, 5, words=30, edits=3)])]
+    rows += [(100 + i, line + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 9)))) for i in range(40)] + [(200, line), (201, line)]
+    monkeypatch.setattr(ngram_join, "shared_sets", lambda docs, parts, f=ngram_join.shared_sets, **k: f(docs, parts, frequent=frequent, **k))
+    docs = docs_of(spark, rows).repartition(3)
+    assert sorted((tuple(r) for r in ngram_join.ngram_components(docs).collect()), key=repr) == brute_components(rows)
+
+
+def test_tree_links_follow_the_global_order(monkeypatch):
+    """Sets are stored from the frequent end of the order that the frequencies give, whatever the task holds."""
+    seen = []
+    monkeypatch.setattr(ngram_join.PrefixTree, "add", lambda self, row, tokens, size, f=ngram_join.PrefixTree.add: (seen.append(tokens.tolist()), f(self, row, tokens, size)) and None)
+    tokens, dfs = [np.array([5, 9, 2]), np.array([7, 9, 2])], [np.array([2, 3, 8]), np.array([2, 3, 8])]
+    ngram_join.tree_links([1, 2], [3, 3], tokens, dfs, [True, True], [True, True], [1, 2])
+    # Order by frequency, then value: 5, 7, 9, 2; numbered from its end: 2 -> 0, 9 -> 1, 7 -> 2, 5 -> 3.
+    assert seen == [[0, 1, 3], [0, 1, 2]]
+
+
+def test_representatives_of_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w30", "v30")
+    rows = [(1, base, "en", "a"), (5, base, "en", "a"), (5, "quite another text that nobody else has got here", "de", "b"), (7, near, "en", "c"), (7, near, "fr", "c"), (None, near, "en", "d"), (None, "alone without an id but with words", "en", "d"), (9, "twice the same row in all columns", "en", "e"), (9, "twice the same row in all columns", "en", "e"), (10, None, None, None), (10, None, None, None), (11, "", "en", "f")]
+    docs = docs_of(spark, rows).withColumns({"_k1": F.lit(5), "K1": F.lit("x"), "s1": F.lit(0), "cls": F.lit("c")})
+    kept = ngram_join.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.lang) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, base, "en"), (5, rows[2][1], "de"), (None, rows[6][1], "en"), (9, rows[7][1], "en"), (10, None, None), (10, None, None), (11, "", "en")], key=repr)
+    # Of equal ids and near texts one stays, the same on every run.
+    same = docs_of(spark, [(7, near, "en", "c"), (7, base, "fr", "c"), (7, near, "de", "d")])
+    one = {tuple(r)[:4] for df in (same, same.repartition(3)) for r in ngram_join.keep_representatives(df).collect()}
+    assert len(one) == 1
+
+
 # ---- models ------------------------------------------------------------------------------------------------------------
 
 
@@ -231,7 +268,7 @@ def test_toxicity_chain(spark, odd, empty):
     got = {r.doc_id: r for r in toxicity.score_texts(docs, model).collect()}
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(got[i].is_toxic == bool(dict(labels)[i]) for i in held) >= 0.97 * len(held)
-    assert model.categories == ("insult", "toxic") and len(model.weights[1]) == len(model.weights[0]) + 1
+    assert model.categories == ("kind_1", "kind_2", "kind_3", "toxic") and [len(w) - len(model.vocabulary) for w in model.weights] == [1, 2, 3, 4]
     assert toxicity.score_texts(odd, model).count() == len(ODD) and toxicity.score_texts(empty, model).isEmpty()
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and abs(kept.count() - 500) <= 5
@@ -254,6 +291,199 @@ def test_quality(spark, odd, empty):
     assert {r.score for r in quality.score_texts(odd, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def plain_regression(x, y, weight, ridge=0.5):
+    """Weighted ridge logistic regression by damped Newton steps, written out; the last column is the constant."""
+    if min(y) == max(y):
+        p = min(max(y[0], 1e-6), 1 - 1e-6)
+        return np.array([0.0] * (x.shape[1] - 1) + [np.log(p / (1 - p))])
+    w, pen = np.zeros(x.shape[1]), np.array([ridge] * (x.shape[1] - 1) + [1e-4])
+    loss = lambda w: float((weight * np.logaddexp(0, -(2 * y - 1) * (x @ w))).sum() + 0.5 * (pen * w * w).sum())
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        grad = x.T @ (weight * (p - y)) + pen * w
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(pen), grad)
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(grad).max() < 1e-9:
+            break
+    return w
+
+
+def plain_chain(rows, y, weight, kinds_of, folds=3):
+    """The chain by definition: rows are sets of words that are features themselves; every row's inputs come from the other folds."""
+    words = sorted(set().union(*rows))
+
+    def chosen(at):
+        score = {}
+        for w in words:
+            a, b = sum(w in rows[i] and y[i] for i in at), sum(w in rows[i] and not y[i] for i in at)
+            n1, n0 = sum(y[i] for i in at), sum(1 - y[i] for i in at)
+            share = (a + b) / (n1 + n0) or 1
+            g = 2 * sum(c * np.log(c / (m * share)) for c, m in ((a, n1), (b, n0)) if c)
+            if a + b >= 3 and a / n1 > b / n0 and g > 6:
+                score[w] = g
+        return sorted(score, key=lambda w: -score[w])
+
+    everyone = range(len(rows))
+    per_fold = [chosen([i for i in everyone if i % folds != f]) for f in range(folds)]
+    final, earlier, models = chosen(everyone), [], []
+    targets = [np.array([float(k == j) for k in kinds_of]) for j in range(3)] + [np.array(y, float)]
+
+    def matrix(at, features):
+        return np.array([[float(w in rows[i]) for w in features] + [e[i] for e in earlier] + [1.0] for i in at])
+
+    for target in targets:
+        models.append(plain_regression(matrix(everyone, final), target, weight))
+        out = np.zeros(len(rows))
+        for f in range(folds):
+            fit, ask = [i for i in everyone if i % folds != f], [i for i in everyone if i % folds == f]
+            out[ask] = 1 / (1 + np.exp(-(matrix(ask, per_fold[f]) @ plain_regression(matrix(fit, per_fold[f]), target[fit], weight[fit]))))
+        earlier.append(out)
+
+    def score(text):
+        p = []
+        for w in models:
+            p.append(1 / (1 + np.exp(-float(np.array([float(f in text) for f in final] + p + [1.0]) @ w))))
+        return p
+
+    return score
+
+
+def test_toxicity_chain_against_plain_version():
+    rng = random.Random(12)
+    marks = [["aaa", "bbb"], ["ccc", "ddd"], ["eee", "fff"]]
+    rows, y = [], []
+    for i in range(240):
+        row, kind = {rng.choice("ghijklmn") * 2 for _ in range(5)}, rng.randrange(3)
+        if i % 4 == 0:
+            row |= {m for m in marks[kind] if rng.random() < 0.9}
+        elif rng.random() < 0.05:
+            row.add(rng.choice(marks[kind]))
+        rows.append(row)
+        y.append(int(i % 4 == 0))
+    weight = np.where(np.array(y) == 1, 2.0, 5.0)
+    model = toxicity.fit_rows([sorted(r) for r in rows], {"toxic": np.array(y, float)}, weight)
+    full = model.vocabulary
+    x = np.zeros((len(rows), len(full)))
+    for i, r in enumerate(rows):
+        x[i, [full[f] for w in r for f in toxicity.word_features(w) if f in full]] = 1
+    toxic = [i for i, t in enumerate(y) if t]
+    kinds_of = np.full(len(rows), -1)
+    kinds_of[toxic] = toxicity.kinds(x[toxic], 3)
+    assert sorted(set(kinds_of[toxic])) == [0, 1, 2]
+    # The plain version's rows hold every feature of a word, as the operator's do.
+    plain = plain_chain([{f for w in r for f in toxicity.word_features(w)} for r in rows], y, weight * (len(y) / weight.sum()), kinds_of)
+    for r in rows:
+        mine = toxicity.probabilities(toxicity._present(" ".join(sorted(r)), full, {}), model)
+        assert mine == pytest.approx(plain({f for w in r for f in toxicity.word_features(w)}), abs=2e-3)
+
+
+def test_bounded_sample_at_any_size(spark):
+    ids = spark.range(400_000).withColumn("doc_id", F.col("id"))
+    for total, rows in ((10**12, 10**11), (3 * 10**10, 3 * 10**9), (400_000, 40_000)):
+        assert abs(common.bounded_sample(ids, F.col("doc_id"), rows, total).count() - 40_000) < 1_000
+    assert common.bounded_sample(ids, F.col("doc_id"), 20_000, 10**12).count() <= 2
+    assert common.bounded_sample(ids, F.col("doc_id"), 400_000, 400_000).count() == 400_000
+
+
+def test_labelled_samples_count_an_id_once(spark):
+    docs = docs_of(spark, [(1, "b"), (1, "a"), (2, None), (3, "c"), (None, "d"), (4, "e"), (6, "f")])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 1), (3, 0), (None, 1), (4, 7), (9, 1)], "doc_id long, toxic int")
+    sample, totals = common.labelled_sample(docs, labels, "toxic", (100, 100))
+    live = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    assert sorted(tuple(r) for r in sample.collect()) == [r for r in [(1, 1, "a"), (3, 0, "c")] if live(r[0])]
+    assert totals == (sum(map(live, [3])), sum(map(live, [1, 2, 9])))
+
+
+def test_scores_mean_the_same_when_a_class_is_sampled(spark):
+    """The clean class learned from a tenth of its rows gives about the probabilities that all its rows give."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(6000):
+        toxic = i % 10 == 0
+        words = [f"w{rng.randrange(60)}" for _ in range(12)] + (["markone"] if rng.random() < (0.6 if toxic else 0.02) else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, marks = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    shares = []
+    for most in (30_000, 700):
+        got = toxicity.score_texts(docs, toxicity.fit(docs, marks, max_train=most)).collect()
+        shares.append([np.mean([r.score for r in got if ("markone" in dict(rows)[r.doc_id]) == marked]) for marked in (True, False)])
+    assert shares[0] == pytest.approx(shares[1], abs=0.08) and abs(shares[0][0] - 0.6 * 0.1 / (0.6 * 0.1 + 0.02 * 0.9)) < 0.08
+
+
+def test_quality_against_plain_version(spark):
+    import zstandard
+
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice(["stone", "river", "under", "light", "over", "the", "and"]) for _ in range(rng.randrange(20, 400)))
+    bad = lambda: " ".join(rng.choice(["xq##", "zz!!", "buy", "CLICK", "$$$", "win"]) for _ in range(rng.randrange(20, 400)))
+    rows = [(i, good() if i % 3 else bad()) for i in range(400)] + [(400, ""), (401, None), (402, "stone " * 40_000)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
+    docs = docs_of(spark, rows)
+    model = quality.fit(docs, labels)
+    assert model.slope > 0 and model.prior is None
+
+    def plain(text):
+        raw, saved = (text or "").encode(), 0
+        n = max(1, round(len(raw) / 1024))
+        for k in range(n if raw else 0):
+            block = raw[len(raw) * k // n : len(raw) * (k + 1) // n]
+            sizes = [len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False).compress(block)) for d in (model.good, model.bad)]
+            saved += sizes[1] - sizes[0]
+        return 1 / (1 + np.exp(-(model.slope * saved / max(1, len(raw)) + model.constant)))
+
+    got = {r.doc_id: r for r in quality.score_texts(docs, model).collect()}
+    for i, text in [*rows[:40], *rows[-3:]]:
+        assert got[i].score == pytest.approx(plain(text), abs=1e-3)  # a compressor made for reuse may differ by a byte or two
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i].predicted == int(i % 3 > 0) for i in held) and got[400].score == got[401].score
+
+
+def test_language_of_other_scripts(spark):
+    rng = random.Random(7)
+    scripts = {"ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνξοπρσ", "ar": "ابتثجحخدذرزسشصضط", "zh": "的一是不了人我在有他这中大来上国", "bg": "абвгдежзиклмнопрст"}
+    def word(lang):
+        letters = scripts[lang]
+        half = letters[: len(letters) // 2] if lang == "ru" else letters[len(letters) // 3 :]
+        return "".join(rng.choice(half) for _ in range(rng.randrange(2, 7)))
+    rows = [(i, " ".join(word(lang) for _ in range(30)), lang) for i, lang in enumerate(list(scripts) * 40)]
+    docs = docs_of(spark, rows)
+    model = language_id.fit(docs)
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert len(held) > 20 and all(got[i].lang_pred == lang for i, _, lang in held)
+    vectors = language_id.letter_vectors(np.array([0, 97, 98, 1078, 945, 30340]), 11)
+    assert np.abs(np.corrcoef(vectors) - np.eye(6)).max() < 0.15 and set(np.unique(vectors)) == {-1, 1}
+
+
+def test_language_profile_against_plain_version():
+    """Bind, permute and bundle letter by letter; also where more trigrams are met than a task remembers."""
+    text = "Ünïcode текст, mixed 文字 and words. " * 3
+    low, syms = f" {text.lower()} ", []
+    for ch in low:
+        s = ord(ch) if ch.isalpha() else 0
+        if s or not syms or syms[-1]:
+            syms.append(s)
+    vec = {s: language_id.letter_vectors(np.array([s]), 11)[0].astype(int) for s in set(syms)}
+    counts = {}
+    for t in zip(syms, syms[1:], syms[2:]):
+        counts[t] = counts.get(t, 0) + 1
+    want = sum(np.log1p(n) * np.roll(vec[a], 2) * np.roll(vec[b], 1) * vec[c] for (a, b, c), n in counts.items())
+    want = want / np.linalg.norm(want)
+    for most in (32_768, 4):
+        assert np.abs(language_id.profiles([text, None, "12 !"], language_id.Vectors(11, most=most))[0] - want).max() < 1e-5
+    assert language_id.profiles([None, "", "3"], language_id.Vectors(11)) == [None] * 3
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "common words of this tongue " + "abc " * (i % 5), "xx") for i in range(2000)] + [(i, "žřč ďťň ůúě", "yy") for i in range(2000, 2010)]
+    model = language_id.fit(docs_of(spark, rows), per_language=50)
+    assert model.langs == ("xx", "yy")
+
+
 # ---- fingerprints ------------------------------------------------------------------------------------------------------
 
 
@@ -314,6 +544,88 @@ def test_likeness_across_sizes():
         assert len(changed) == n // 2 + 3 and near(text, changed) > 0.6
 
 
+def plain_features(data, width):
+    """Selected windows of a width by definition: the rarest window within width // 2 on either side, leftmost of equals."""
+    if len(data) < width:
+        return [data] if data else []
+    ranks = []
+    for at in range(len(data) - width + 1):
+        window = data[at : at + width]
+        total = sum(c * np.log2(c) for c in {b: window.count(b) for b in window}.values())
+        entropy = 1 - round(total * fingerprint._SCALE) / (fingerprint._SCALE * width * np.log2(width))
+        ranks.append(1 << 30 if entropy < 0.33 else int(65_000 - abs(entropy - 0.68) * 65_000))
+    reach, out = width // 2, []
+    for at, r in enumerate(ranks):
+        near = ranks[max(0, at - reach) : at + reach + 1]
+        if r < 1 << 30 and r == min(near) and r not in ranks[max(0, at - reach) : at]:
+            out.append(data[at : at + width])
+    return out or [data[:width]]
+
+
+def test_fingerprint_against_plain_version():
+    """Features window by window, filters bit by bit, likeness filter by filter."""
+    rng = random.Random(21)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(n)).encode()
+
+    def plain_chains(data):
+        out = {}
+        for width in [w for w, least in ((64, 512), (16, 64), (8, 0)) if len(data) >= least and data]:
+            hashes = []
+            for f in plain_features(data, width):
+                h = 0
+                for k, b in enumerate(f):
+                    h = (h + int(fingerprint._byte_values()[b]) * pow(fingerprint._BASE, k, 2**64)) % 2**64
+                h = (h + len(f)) % 2**64
+                h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+                h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+                hashes.append(h ^ (h >> 31))
+            out[width] = [{h >> 11 * k & 2047 for h in hashes[i : i + 160] for k in range(5)} for i in range(0, len(hashes), 160)]
+        return out
+
+    def plain_likeness(a, b):
+        if not a or not b:
+            return float(not a and not b)
+        width = min(max(a), max(b))
+        x, y = sorted((a[width], b[width]), key=len)
+        best = []
+        for f in x:
+            scores = []
+            for g in y:
+                most, chance = min(len(f), len(g)), len(f) * len(g) / 2048
+                chance += 0.1 * (most - chance)
+                scores.append(min(1.0, max(0.0, (len(f & g) - chance) / max(most - chance, 1e-9))))
+            best.append(max(scores))
+        return sum(best) / len(best)
+
+    texts = [b"", b"abc", text(3), text(20), text(60), text(200), b"a" * 700, text(900)]
+    texts += [t[: len(t) // 2] + text(30) for t in texts[3:6]]
+    plain, real = [plain_chains(t) for t in texts], [fingerprint.digest(t) for t in texts]
+    for t, chains, d in zip(texts, plain, real, strict=True):
+        want = [(w, f) for w in sorted(chains, reverse=True) for f in chains[w]]
+        assert [(int(row[0]), set(np.flatnonzero(np.unpackbits(row[1:])).tolist())) for row in d] == want, t
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            want = 1.0 if a == b else plain_likeness(plain[i], plain[j])
+            assert fingerprint.likeness(real[i], real[j]) == pytest.approx(want, abs=1e-5) or np.array_equal(real[i], real[j])
+
+
+def test_fingerprint_ranges_of_frequent_ids(spark):
+    """One id and the null id hold most rows: they are split, and every row still meets its next one."""
+    rng = random.Random(2)
+    rows = [(7, f"seven {rng.random()}") for _ in range(120)] + [(None, f"none {rng.random()}") for _ in range(60)] + [(rng.randrange(100), f"other {rng.random()}") for _ in range(60)]
+    docs = docs_of(spark, rows).repartition(3)
+    placed, parts = fingerprint.ranges(docs, per_task=60)
+    sizes = [r["count"] for r in placed.where("NOT ghost").groupBy("part").count().collect()]
+    assert parts > 40 and max(sizes) < 30 and sum(sizes) == len(rows)
+    ordered = placed.where("NOT ghost").select("doc_id", "h", "text", "part").collect()
+    ordered.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text))
+    assert [r.part for r in ordered] == sorted(r.part for r in ordered)
+    import hashlib
+
+    want = sorted(hashlib.sha256(fingerprint.edited(r.text, ordered[(k + 1) % len(ordered)].text).encode()).hexdigest() for k, r in enumerate(ordered))
+    assert sorted(r.edited_sha256 for r in fingerprint.fingerprint_documents(docs).collect()) == want
+
+
 # ---- mixing ------------------------------------------------------------------------------------------------------------
 
 
@@ -440,6 +752,21 @@ def test_url_filter(spark, extra):
     assert url_filter.filter_urls(pages, ()).where("verdict <> 'allow'").isEmpty() and url_filter.filter_urls(pages.limit(0), rules).isEmpty()
 
 
+def test_url_hosts_of_very_many_labels(spark):
+    deep = "a." * 100_000 + "example.com"
+    pages = spark.createDataFrame([(1, f"http://{deep}/en/7/x"), (2, "http://" + "." * 50_000 + "/en/"), (3, f"http://{deep}x/en/7")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()}
+    assert got == {1: ("example.com/en/7", "allow"), 2: (None, "allow"), 3: (None, "allow")}
+
+
+def test_url_filter_by_a_shuffled_rule_table(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
+    urls = ["http://É.Example.COM/en/7", "http://a.net/de/9", "http://example.net/de/8", "http://b.org/es/", None] * 3
+    pages = spark.createDataFrame([(i % 7, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = sorted((tuple(r) for r in url_filter.filter_urls(pages).collect()), key=repr)
+    assert got == sorted(((i % 7, *brute_url(u, url_filter.BASE_RULES)) for i, u in enumerate(urls)), key=repr)
+
+
 # ---- embeddings --------------------------------------------------------------------------------------------------------
 
 
@@ -468,9 +795,82 @@ def test_embedding_links(spark, slab_rows):
     assert embedding_dedup.embedding_links(df.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e200])
+def test_embeddings_in_double_precision(spark, scale):
+    """Cosines a hair above and below the bound, told apart only by digits that single precision hasn't got."""
+    rng = np.random.default_rng(8)
+    vectors = []
+    for eps in (1e-9, -1e-9) * 6:
+        a = rng.standard_normal(12)
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(12)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = 0.95 + eps
+        vectors += [a * scale, (c * a + np.sqrt(1 - c * c) * b) * scale * 3]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_links(df, slab_rows=7).collect()}
+    unit = [exact / np.linalg.norm(exact) for exact in (v / np.abs(v).max() for v in vectors)]
+    assert got == {i: sum(j != i and float(u @ w) >= 0.95 for j, w in enumerate(unit)) for i, u in enumerate(unit)}
+    assert sum(got.values()) == 12
+
+
 # ---- pipeline ----------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, odd, empty):
+    """Every stage keeps the columns, whatever their names, and has a result for nulls, empty and long texts, repeats and no rows at all."""
+    import corpus_pipeline as P
+
+    clash = {c: F.lit(1) for c in ("_id", "_of", "_copies", "_copy", "_text", "_key", "_k1", "_at", "block", "part", "cls", "grp", "h")}
+    names = [n for n, _ in P.STAGES]
+    for name, stage in P.STAGES:
+        for docs in (odd.withColumns(clash), empty.withColumns(clash)):
+            out = stage(spark, docs, DIR)
+            if name != names[-1]:
+                assert out.columns == docs.columns, name
+            rows = out.collect()
+            assert bool(rows) == (docs.columns == odd.withColumns(clash).columns and not docs.isEmpty()), name
+    kept = {name: sorted((r.doc_id for r in stage(spark, odd, DIR).collect()), key=repr) for name, stage in P.STAGES[:4]}
+    ids = sorted((r[0] for r in ODD), key=repr)
+    assert kept["toxicity"] == ids
+    # Nothing to learn a language from: letters decide.
+    assert kept["language_id"] == sorted([4, 4, None, 5, 6, 7, 8], key=repr)
+    assert kept["ngram_join"] == sorted([1, 2, 3, 4, None, 5, 6, 7], key=repr)
+    assert set(kept["mixing"]) <= {4, None, 5, 6, 7, 8} and 5 in kept["mixing"]
+
+
+def test_mixed_rows_follow_the_mix(spark):
+    rng = random.Random(9)
+    rows = [(i, "x " * rng.randrange(1, 400), None, rng.choice("abc")) for i in range(120)]
+    docs = docs_of(spark, rows).withColumn("_id", F.lit(3))
+    times = {}
+    for r in mixing.mixed_rows(docs).collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    want = {r.doc_id: int(np.floor(r.taken / r["size"] + 0.5)) for r in mixing.mix_documents(docs).collect()}
+    assert times == {k: v for k, v in want.items() if v}
+
+
+def test_language_stage_bound(spark):
+    docs = docs_of(spark, [(i, "some english looking words here", "en") for i in range(30)] + [(100 + i, "ganz andere wörter stehen da", "de") for i in range(30)])
+    model = language_id.fit(docs)
+    mixed = docs_of(spark, [(1, "some english words"), (2, "andere wörter"), (3, "12"), (4, None)])
+    assert sorted(r.doc_id for r in language_id.drop_unknown(mixed, model).collect()) == [1, 2]
+    assert [r.doc_id for r in language_id.drop_unknown(mixed, model, languages=frozenset(["de"])).collect()] == [2]
+    assert language_id.drop_unknown(mixed, model, least=1.0).isEmpty()
+
+
+def test_pipeline_run(spark):
+    """The whole run over the smallest tables: its pieces are those of the stages one by one."""
+    import corpus_pipeline as P
+
+    pieces = P.run(spark, DIR).collect()
+    before = common.table(spark, DIR, "documents")
+    for name, stage in P.STAGES[:-1]:
+        before = common.written(stage(spark, before, DIR), f"again-{name}")
+    check_packed([(r.doc_id, r.text) for r in before.collect()], pieces)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
