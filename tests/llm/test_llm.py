@@ -120,6 +120,40 @@ def test_license_gates_let_every_alternative_through(spark):
     }
 
 
+def plain_detections(text):
+    """All rules by plain search, then suppression by its definition: pairs of detections, one inside the other."""
+    found = []
+    for i, r in enumerate(license_scan.signatures()):
+        for m in re.finditer(r.regex, text, re.I | re.A):
+            found.append((m.start(), m.end(), r.priority, i, r.label))
+    out = []
+    for d in found:
+        over = [e for e in found if e != d and e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or (e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or e[3] < d[3])))]
+        if not over:
+            out.append(d)
+    return sorted((s, e, label) for s, e, _, _, label in out)
+
+
+def test_license_detections_against_plain_version(spark):
+    rng = random.Random(17)
+    names = ["MIT License", "GNU General Public License, version 2", "GNU Lesser General Public License v2.1", "Apache License, Version 2.0", "CC BY-NC-SA 4.0", "Creative Commons Zero", "BSD-3-Clause", "Mozilla Public License 2.0", "EUPL", "Boost Software License 1.0", "all rights reserved", "zlib license", "the Unlicense"]
+    frames = ["licensed under the {}", "Released under the terms of the {} license", "SPDX-License-Identifier: {}", "{}", "see {} for more", "distributed\nunder {}."]
+    tags = ["MIT", "Apache-2.0", "GPL-3.0-or-later", "LGPL-2.1", "CC-BY-NC", "0BSD", "MPL-2.0"]
+    whole = [license_scan._loose(x).replace(r"\s+", " ") for _, _, x in license_scan.SENTENCES if not set("[(?{|+") & set(x.replace(r"\s+", " "))]
+    links = ["https://opensource.org/licenses/MIT", "http://www.gnu.org/licenses/gpl-3.0.html", "https://creativecommons.org/licenses/by-nc-sa/4.0", "https://www.apache.org/licenses/LICENSE-2.0"]
+    rows = []
+    for i in range(160):
+        bits = []
+        for _ in range(rng.randrange(1, 6)):
+            bits.append(rng.choice([rng.choice(frames).format(rng.choice(names + tags)), rng.choice(links), rng.choice(whole).replace("\\", ""), "some plain words here", "ünder no licence"]))
+        rows.append((i, rng.choice([" ", "\n", " -- "]).join(bits)))
+    got = {}
+    for r in license_scan.detections(docs_of(spark, rows), key="doc_id").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.label))
+    want = {i: plain_detections(text) for i, text in rows}
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x} and sum(map(len, want.values())) > 250
+
+
 # ---- n-gram join -------------------------------------------------------------------------------------------------------
 
 
