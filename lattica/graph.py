@@ -49,6 +49,7 @@ class PropertyGraph:
     rels: DataFrame
     version: str | None = None
     strict_names: bool = field(default=False, compare=False)
+    indexes: dict[tuple[str, str], DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         for df, needed, what in ((self.nodes, NODE_COLUMNS, "nodes"), (self.rels, REL_COLUMNS, "rels")):
@@ -125,6 +126,15 @@ class PropertyGraph:
         self.rels.unpersist()
         return self
 
+    def with_indexes(self, pairs: Iterable[tuple[str, str]]) -> PropertyGraph:
+        """With look-ups by (label, key) prepared: values and ids dealt by value, kept in the executors' cache. Unknown keys have none."""
+        made = dict(self.indexes)
+        for label, key in pairs:
+            if key in self.property_keys() and (label, key) not in made:
+                found = self.with_label(label).where(F.col(key).isNotNull()).select(F.col(key).alias("value"), "id")
+                made[label, key] = found.repartition("value").sortWithinPartitions("value").persist()
+        return replace(self, indexes=made)
+
     def simple(self) -> PropertyGraph:
         """Without parallel relationships and self loops (types are told apart)."""
         return replace(self, rels=self.rels.where("src <> dst").dropDuplicates(["src", "dst", "rel_type"]))

@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ngrams
 from ..graph import PropertyGraph
+from ..storage import stored
 
 
-def ranked_ids(docs: DataFrame, *, rank: str = "rank", order: str = "seq", chunk_rows: int = 100_000) -> DataFrame:
+def ranked_ids(docs: DataFrame, *, rank: str = "rank", order: str = "seq") -> DataFrame:
     """Adds ``id``: 0 for the highest rank, ties in their given order.
 
-    Rows are dealt by ranges of the sort key and counted, so that numbering needs no single task: a range's first number is the
-    count of all ranges before it.
+    Rows are dealt by ranges of the sort key and written once, so that the count of a range and the numbers in it are of the same
+    rows; a range's first number is the count of all ranges before it, and no single task numbers everything.
     """
-    n = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    dealt = docs.repartitionByRange(n, F.col(rank).desc_nulls_last(), F.col(order).asc()).withColumn("_part", F.spark_partition_id())
-    within = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(rank).desc_nulls_last(), order)))
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    n = max(1, docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = (F.col(rank).desc_nulls_last(), F.col(order).asc())
+    dealt, _ = stored(docs.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id()), "ranked")
+    within = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     return within.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_rn") - 1).drop("_part", "_rn", "_start")
 
@@ -37,7 +39,7 @@ class SharedCorpus:
 
 def build_shared_corpus(docs: DataFrame, *, key: str = "key", text: str = "text", links: str | None = "links", payload: str | None = None, rank: str = "rank", order: str = "seq", label: str = "Doc", rel_type: str = "links", n: int = 3) -> SharedCorpus:
     """Ids by rank; links to unknown keys are dropped; postings of distinct n-grams; a record for each id."""
-    numbered = ranked_ids(docs, rank=rank, order=order)
+    numbered, _ = stored(ranked_ids(docs, rank=rank, order=order), "corpus")
     nodes = numbered.select("id", F.array(F.lit(label)).alias("labels"), F.col(key).cast("string").alias("key"))
     if links is not None:
         known = numbered.select(F.col(key).alias("_to"), F.col("id").alias("dst"))
@@ -75,9 +77,19 @@ def record_ranges(records: DataFrame, *, payload: str = "payload", chunk: int =
     return sized.join(F.broadcast(starts), "_chunk").select("id", (end - F.col("n")).alias("start"), end.alias("end"))
 
 
-def plan_ranges(ranges: DataFrame, asked: DataFrame, max_gap: int) -> DataFrame:
-    """(start, end, n): byte ranges that cover the asked records, joined where the gap is at most ``max_gap``; empty records need none."""
-    mine = ranges.join(asked.select("id").distinct(), "id", "left_semi").where("end > start")
-    by_start = Window.orderBy("start")
-    marked = mine.withColumn("_far", F.coalesce((F.col("start") - F.lag("end").over(by_start) > max_gap).cast("int"), F.lit(0)))
-    return marked.withColumn("_island", F.sum("_far").over(by_start)).groupBy("_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
+def plan_ranges(ranges: DataFrame, asked: DataFrame, max_gap: int, *, chunk: int = 100_000) -> DataFrame:
+    """(start, end, n): byte ranges that cover the asked records, joined where the gap is at most ``max_gap``; empty records need none.
+
+    Records lie in the order of their ids, so gaps are looked at chunk of ids by chunk; only a row a chunk (its first start, last
+    end and number of gaps) is put in order as a whole.
+    """
+    mine = ranges.join(asked.select("id").distinct(), "id", "left_semi").where("end > start").withColumn("_chunk", F.floor(F.col("id") / chunk))
+    inside = Window.partitionBy("_chunk").orderBy("start")
+    far = lambda start, end: F.coalesce((start - end > max_gap).cast("long"), F.lit(0))
+    marked = mine.withColumn("_far", far(F.col("start"), F.lag("end").over(inside)))
+    whole = marked.groupBy("_chunk").agg(F.min("start").alias("_first"), F.max("end").alias("_last"), F.sum("_far").alias("_gaps"))
+    chunks = Window.orderBy("_chunk")
+    opened = whole.withColumn("_own", far(F.col("_first"), F.lag("_last").over(chunks)))
+    before = F.sum(F.col("_own") + F.col("_gaps")).over(chunks.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_gaps")
+    numbered = marked.join(opened.select("_chunk", before.alias("_before")), "_chunk").withColumn("_island", F.col("_before") + F.sum("_far").over(inside))
+    return numbered.groupBy("_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")

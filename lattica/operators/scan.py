@@ -12,6 +12,12 @@ from ..functions.scalar import splitmix64
 from ..graph import PropertyGraph
 
 
+def info(g: PropertyGraph) -> DataFrame:
+    """One row: nodes, relationships, version."""
+    counts = g.nodes.agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(g.rels.agg(F.count("*").alias("relationships"))))
+    return counts.withColumn("version", F.lit(g.version).cast("string"))
+
+
 def node_count(g: PropertyGraph) -> int:
     return g.nodes.count()
 
@@ -52,16 +58,23 @@ def type_counts(g: PropertyGraph) -> DataFrame:
     return g.rels.groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
-def _equals(g: PropertyGraph, key: str, value) -> Column:
-    """Equality that holds types apart: a number never equals a text, an integer never a fraction's column."""
+def _comparable(g: PropertyGraph, key: str, value) -> bool:
+    """Types are held apart: a number never equals a text, an integer never a fraction's column."""
     if key not in g.property_keys():
-        return F.lit(False)
+        return False
     kind = g.nodes.schema[key].dataType.simpleString()
     fits = {bool: kind == "boolean", str: kind == "string", int: kind in ("bigint", "int", "smallint", "tinyint"), float: kind in ("double", "float")}
-    return F.col(key) == F.lit(value) if fits.get(type(value), False) else F.lit(False)
+    return fits.get(type(value), False)
+
+
+def _equals(g: PropertyGraph, key: str, value, column: str | None = None) -> Column:
+    return F.col(column or key) == F.lit(value) if _comparable(g, key, value) else F.lit(False)
 
 
 def nodes_with_property(g: PropertyGraph, label: str, key: str, value) -> DataFrame:
+    """(id) of the label's nodes with the value; from the prepared look-up where the graph has one."""
+    if (label, key) in g.indexes:
+        return g.indexes[label, key].where(_equals(g, key, value, "value")).select("id")
     return g.with_label(label).where(_equals(g, key, value)).select("id")
 
 

@@ -15,11 +15,11 @@ from .tables import GraphLoader, need
 _TYPES = {"int64": "long", "float64": "double", "bool": "boolean", "string": "string"}
 
 
-def read_csv(loader: GraphLoader, path: str, delimiter: str = ",") -> DataFrame:
-    """All columns as strings; an empty cell is absent."""
+def read_csv(loader: GraphLoader, path: str, delimiter: str = ",", *, multi_line: bool = True) -> DataFrame:
+    """All columns as strings; an empty cell is absent. ``multi_line`` False reads a large file in many tasks, where no cell has a line's end in it."""
     if len(delimiter.encode()) != 1:
         raise BulkLoadError("a delimiter is one byte")
-    return loader.spark.read.csv(path, header=True, sep=delimiter, multiLine=True, escape='"', nullValue="", emptyValue="")
+    return loader.spark.read.csv(path, header=True, sep=delimiter, multiLine=multi_line, escape='"', nullValue="", emptyValue="")
 
 
 def typed(df: DataFrame, column_types: dict[str, str] | None = None, skip: Sequence[str] = ()) -> DataFrame:
@@ -51,9 +51,9 @@ def typed(df: DataFrame, column_types: dict[str, str] | None = None, skip: Seque
     return df.select(*out)
 
 
-def load_nodes_from_csv(loader: GraphLoader, path: str, *, node_id_column: str | None = None, label_columns=(), column_types=None, delimiter: str = ",", **kwargs) -> DataFrame:
+def load_nodes_from_csv(loader: GraphLoader, path: str, *, node_id_column: str | None = None, label_columns=(), column_types=None, delimiter: str = ",", multi_line: bool = True, **kwargs) -> DataFrame:
     """A repeated node keeps its first row's properties; labels merge."""
-    df = read_csv(loader, path, delimiter)
+    df = read_csv(loader, path, delimiter, multi_line=multi_line)
     need(df, [node_id_column, *label_columns])
     df = typed(df, column_types, skip=[c for c in (node_id_column, *label_columns) if c])
     if node_id_column:
@@ -71,10 +71,10 @@ def _ids(df: DataFrame, column: str) -> DataFrame:
 
 def load_relationships_from_csv(
     loader: GraphLoader, path: str, start_ref, end_ref, *, rel_type_column: str | None = None, fixed_rel_type: str | None = None, property_columns: Sequence[str] | None = None,
-    deduplication: RelDedup | str = RelDedup.CREATE_ALL, column_types=None, delimiter: str = ",", key_property_columns: Sequence[str] | None = None, _frame: DataFrame | None = None, renames=None,
+    deduplication: RelDedup | str = RelDedup.CREATE_ALL, column_types=None, delimiter: str = ",", key_property_columns: Sequence[str] | None = None, multi_line: bool = True, _frame: DataFrame | None = None, renames=None,
 ) -> DataFrame:
     """Defaults: every other column is a property; duplicates are told by all properties that are present."""
-    df = read_csv(loader, path, delimiter) if _frame is None else _frame
+    df = read_csv(loader, path, delimiter, multi_line=multi_line) if _frame is None else _frame
     start, end = as_ref(start_ref), as_ref(end_ref)
     reserved = [c for r in (start, end) for c in (r.columns if hasattr(r, "columns") else (r.column,))] + ([rel_type_column] if rel_type_column else [])
     need(df, reserved, BulkLoadError)

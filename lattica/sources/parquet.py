@@ -11,19 +11,36 @@ from ..graph import NODE_COLUMNS, REL_COLUMNS, PropertyGraph
 from .tables import GraphLoader
 
 
+def configure_s3(spark: SparkSession, *, endpoint: str | None = None, region: str | None = None, access_key: str | None = None, secret_key: str | None = None, path_style: bool = False, bucket: str | None = None) -> dict[str, str]:
+    """Settings of the s3a file system for the session's reads (of one bucket, if given), which are returned; what isn't given stays as
+    the cluster has it. Without keys the cluster's own credentials count."""
+    prefix = f"fs.s3a.bucket.{bucket}." if bucket else "fs.s3a."
+    given = {"endpoint": endpoint, "endpoint.region": region, "access.key": access_key, "secret.key": secret_key, "path.style.access": "true" if path_style else None}
+    settings = {prefix + k: v for k, v in given.items() if v is not None}
+    for k, v in settings.items():
+        spark.sparkContext._jsc.hadoopConfiguration().set(k, v)
+    return settings
+
+
+def s3a(path: str) -> str:
+    """An s3:// or s3n:// address under the scheme that Spark reads; any other path as it is."""
+    scheme, mark, rest = path.partition("://")
+    return f"s3a://{rest}" if mark and scheme in ("s3", "s3n") else path
+
+
 def load_nodes_from_parquet(loader: GraphLoader, path: str, **kwargs) -> DataFrame:
     """Defaults: every column but id and labels is a property; a duplicate's properties go to the surviving node.
 
-    ``path`` may name any file system that Spark reads (s3a://, hdfs://, ...).
+    ``path`` may name any file system that Spark reads (s3://, hdfs://, ...; see ``configure_s3``).
     """
     kwargs.setdefault("on_duplicate", "merge")
-    return loader.load_nodes(loader.spark.read.parquet(path), **kwargs)
+    return loader.load_nodes(loader.spark.read.parquet(s3a(path)), **kwargs)
 
 
 def load_relationships_from_parquet(loader: GraphLoader, path: str, start_ref, end_ref, **kwargs) -> DataFrame:
     """Defaults: no property columns; rows without key values are never duplicates of one another."""
     kwargs.setdefault("null_keys", "skip")
-    return loader.load_relationships(loader.spark.read.parquet(path), start_ref, end_ref, **kwargs)
+    return loader.load_relationships(loader.spark.read.parquet(s3a(path)), start_ref, end_ref, **kwargs)
 
 
 def read_from_parquet(

@@ -1,6 +1,8 @@
 """Node and relationship loading from any DataFrame: what the Parquet and CSV loaders share.
 
-Nothing runs before the columns are checked. Every load is a plan over the source; only the id range check is a job of its own.
+Nothing runs before the columns are checked. Every load is written once into the shared folder, with its row numbers and ids: a source
+that is read again (and may come in other partitions then) can't give a row another number. The nodes that references meet are put
+together once for each state of the loader.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..errors import BulkLoadError, SchemaError
 from ..graph import NODE_COLUMNS, REL_COLUMNS, PropertyGraph
+from ..storage import cut, stored
 from .refs import IdRef, NodeRef, RelDedup, as_ref, check_ids, columns_of, dedup_rels, resolve
 
 _KINDS = ((T.BooleanType, "boolean"), ((T.ByteType, T.ShortType, T.IntegerType, T.LongType), "long"), ((T.FloatType, T.DoubleType), "double"), (T.StringType, "string"))
@@ -44,6 +47,7 @@ class GraphLoader:
     unique: tuple[str, ...] = ()
     on_duplicate: str = "merge"
     skipped: list[DataFrame] = field(default_factory=list)
+    _merged: tuple | None = None
 
     # ---- nodes --------------------------------------------------------------------------------------------------------
 
@@ -60,10 +64,10 @@ class GraphLoader:
         labels = F.array_distinct(F.array_compact(F.array(*[F.lit(default_label)] if default_label else [], *[F.when(F.col(c) != "", F.col(c).cast("string")) for c in label_columns]).cast("array<string>")))
         part = len(self.node_parts)
         seq = F.struct(F.lit(part).alias("part"), F.monotonically_increasing_id().alias("row"))
-        rows = df.select(
+        rows, _ = stored(df.select(
             (F.col(node_id_column).cast("long") if node_id_column else F.lit(None).cast("long")).alias("id"), labels.alias("labels"),
             *[coerced(df, c, c) for c in [*props, *extra]], seq.alias("_seq"),
-        )
+        ), "loaded-nodes")
         if node_id_column and validate:
             check_ids(rows, "id")
         rows = self._with_ids(rows)
@@ -86,7 +90,7 @@ class GraphLoader:
         starts = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
         given = numbered.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_seq"))).join(F.broadcast(starts), "_p")
         given = given.withColumn("id", F.lit(top) + F.col("_start") + F.col("_rn")).drop("_p", "_rn", "_start", "_n")
-        return rows.where("id IS NOT NULL").unionByName(given.select(rows.columns))
+        return cut(rows.where("id IS NOT NULL").unionByName(given.select(rows.columns)))
 
     def _all_rows(self) -> DataFrame | None:
         out = None
@@ -108,6 +112,13 @@ class GraphLoader:
         return joined.select(F.col("id").alias("row_id"), F.coalesce("_id", "id").alias("id"), F.col("_seq.part").alias("part"), "_seq")
 
     def nodes(self) -> DataFrame:
+        """All nodes, merged; put together once until the next load."""
+        state = (len(self.node_parts), self.unique, self.on_duplicate)
+        if self._merged is None or self._merged[0] != state:
+            self._merged = (state, stored(self._put_together(), "nodes")[0])
+        return self._merged[1]
+
+    def _put_together(self) -> DataFrame:
         rows = self._all_rows()
         if rows is None:
             return self.spark.createDataFrame([], "id long, labels array<string>")
@@ -142,6 +153,7 @@ class GraphLoader:
         ends = [c for r in (start, end) for c in columns_of(r)]
         kind = F.col(rel_type_column).cast("string") if rel_type_column else F.lit(fixed_rel_type)
         row = df.select(*[F.col(c).alias(f"_end{i}") for i, c in enumerate(ends)], kind.alias("rel_type"), *[coerced(df, c, n) for c, n in names.items()], F.monotonically_increasing_id().alias("_row"))
+        row, _ = stored(row, "loaded-relationships")
         place = {c: f"_end{i}" for i, c in enumerate(ends)}
         nodes = self.nodes()
         for ref, out, at in ((start, "src", 0), (end, "dst", len(columns_of(start)))):
@@ -151,9 +163,10 @@ class GraphLoader:
         known = nodes.select("id")
         good = row.where(F.col("rel_type").isNotNull() & (F.col("rel_type") != ""))
         good = good.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        self.skipped.append(row.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(good.agg(F.count("*").alias("made")))).select((F.col("rows") - F.col("made")).alias("skipped")))
         part = len(self.rel_parts)
-        rels = good.select((F.lit(part * 2**52) + F.col("_row")).cast("long").alias("rel_id"), "src", "dst", "rel_type", *names.values())
+        rels, _ = stored(good.select((F.lit(part * 2**52) + F.col("_row")).cast("long").alias("rel_id"), "src", "dst", "rel_type", *names.values()), "relationships")
+        # Two counts of one row each.
+        self.skipped.append(row.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(rels.agg(F.count("*").alias("made")))).select((F.col("rows") - F.col("made")).alias("skipped")))
         rels = dedup_rels(rels, RelDedup(deduplication), [names[c] for c in key_property_columns], null_keys=null_keys)
         self.rel_parts.append(rels)
         return rels.select(F.col("src").alias("start"), F.col("dst").alias("end"))
