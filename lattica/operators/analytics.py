@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import BOTH, IN, OUT, PropertyGraph
@@ -13,26 +13,47 @@ from ..storage import cut
 Types = str | Iterable[str] | None
 
 
-def pagerank(g: PropertyGraph, *, directed: bool = True, damping: float = 0.85, iterations: int = 30, types: Types = None) -> DataFrame:
-    """(id, rank) after a fixed number of rounds; the rank of nodes without an outgoing relationship is shared by all."""
-    adj = g.adj(OUT if directed else BOTH, types).select("node", "nbr")
+def pagerank(g: PropertyGraph, *, directed: bool = True, damping: float = 0.85, iterations: int = 30, types: Types = None, workers: int | None = None) -> DataFrame:
+    """(id, rank) after a fixed number of rounds; the rank of nodes without an outgoing relationship is shared by all.
+
+    Ranks are sums of the walks' masses: u0 is 1 everywhere, and a round sends u along the links. What a round adds evenly, the
+    damping's share and what the sinks lose, is one number a round, worked out from the totals of the u afterwards; so no round
+    waits for the driver. Links are dealt by source once and cached, every other u is cached where its sums are made, the others are
+    written to the shared folder. ``workers``: tasks a round (None: the session's).
+    """
+    n_tasks = workers or int(g.spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = g.nodes.select("id").distinct()
+    # Parallel relationships fold into one share.
+    counted = g.adj(OUT if directed else BOTH, types).groupBy("node", "nbr").agg(F.count("*").alias("m")).repartition(n_tasks, "node")
+    links = counted.select("node", "nbr", (F.col("m") / F.sum("m").over(Window.partitionBy("node"))).alias("share")).persist()
+    mass, rounds = links.select("nbr", "share"), []
+    for k in range(iterations):
+        if k:
+            mass = links.join(rounds[-1].select(F.col("id").alias("node"), "u"), "node").select("nbr", (F.col("share") * F.col("u")).alias("share"))
+        u = mass.groupBy(F.col("nbr").alias("id")).agg(F.sum("share").alias("u"))
+        rounds.append(cut(u) if k % 2 else u.persist())  # plans of cached tables within cached tables would double at every round
+    sums = None
+    for k, u in enumerate(rounds):
+        one = u.agg(F.lit(k).alias("k"), F.coalesce(F.sum("u"), F.lit(0.0)).alias("t"))
+        sums = one if sums is None else sums.unionAll(one)
     n = nodes.count()
     if n == 0:
+        links.unpersist()
         return g.spark.createDataFrame([], "id long, rank double")
-    deg = adj.groupBy("node").agg(F.count("*").alias("deg"))
-    # Parallel relationships fold into one share; the table is dealt by its source once and reused by every round.
-    links = cut(adj.groupBy("node", "nbr").agg(F.count("*").alias("m")).join(deg, "node").select("node", "nbr", (F.col("m") / F.col("deg")).alias("share")))
-    sinks = nodes.join(deg, F.col("id") == F.col("node"), "left_anti").withColumn("sink", F.lit(True))
-    ranks = cut(nodes.join(sinks, "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("sink", F.lit(False)).alias("sink")))
+    totals = [float(n), *[r.t for r in sorted(sums.collect(), key=lambda r: r.k)]] if rounds else [float(n)]  # a row a round
+    weights = [1.0 / n]  # of u0, u1, ... in the ranks
     for _ in range(iterations):
-        # One row: the mass of the sinks, worked out within the round's own job.
-        lost = F.broadcast(ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))
-        got = links.join(ranks.select(F.col("id").alias("node"), "rank"), "node").groupBy("nbr").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        base = F.lit((1 - damping) / n) + damping * F.col("lost") / n
-        joined = ranks.select("id", "sink").join(got, F.col("id") == F.col("nbr"), "left").crossJoin(lost)
-        ranks = cut(joined.select("id", (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "sink"))
-    return ranks.select("id", "rank")
+        lost = sum(w * (totals[j] - totals[j + 1]) for j, w in enumerate(weights))
+        weights = [(1 - damping) / n + damping * lost / n, *[damping * w for w in weights]]
+    parts = None
+    for k, u in enumerate(rounds):
+        one = u.select("id", (F.col("u") * weights[k + 1]).alias("r"))
+        parts = one if parts is None else parts.unionAll(one)
+    got = parts.groupBy("id").agg(F.sum("r").alias("r")) if parts is not None else nodes.select("id", F.lit(0.0).alias("r"))
+    out = cut(nodes.join(got, "id", "left").select("id", (F.lit(weights[0]) + F.coalesce("r", F.lit(0.0))).alias("rank")))
+    for df in (links, *rounds):
+        df.unpersist()
+    return out
 
 
 def wcc(g: PropertyGraph, *, types: Types = None, max_rounds: int = 60) -> DataFrame:
@@ -51,6 +72,9 @@ def wcc(g: PropertyGraph, *, types: Types = None, max_rounds: int = 60) -> DataF
         maps = step if maps is None else maps.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
         ends = left.join(step.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         left = cut(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"components are not finished after {max_rounds} rounds")
     nodes = g.nodes.select("id").distinct()
     if maps is None:
         return nodes.select("id", F.col("id").alias("component"))

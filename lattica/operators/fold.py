@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import OUT, Direction, PropertyGraph
+from ..storage import cut
 from .expand import first_map
 
 Types = str | Iterable[str] | None
@@ -82,7 +83,27 @@ def neighbor_groups(g: PropertyGraph, sources: DataFrame, rel_type: Types, direc
     return NeighborGroups(g, sources, rel_type, direction)
 
 
-def pair_counts(g: PropertyGraph, rel_type: Types, direction: Direction | str = OUT, sources: DataFrame | None = None) -> DataFrame:
+def _paired(m: DataFrame, key: str, value: str, extra: Sequence[str] = (), *, block: int = 1000) -> DataFrame:
+    """(a, b, *extra, *extra of b with a leading _) of every two rows of ``m`` with the same ``key``, a < b by ``value``.
+
+    A key of more than ``block`` rows is cut into blocks by a hash of the value, and each pair of blocks is a join key of its own: no
+    task pairs more than two blocks, however many rows a key has.
+    """
+    m = m.persist()
+    hubs = m.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_g")).where("_g > 1")
+    a, b = [F.col(value).alias("a"), *extra], [F.col(value).alias("b"), *[F.col(c).alias(f"_{c}") for c in extra]]
+    if hubs.isEmpty():
+        return m.select(key, *a).join(m.select(key, *b), key).where("a < b").drop(key)
+    hubs = cut(hubs)
+    plain = m.join(hubs, key, "left_anti")
+    cells = m.join(hubs, key).withColumn("_at", F.pmod(F.xxhash64(value), F.col("_g")).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    left = cells.select(key, F.col("_at").alias("_i"), F.col("_to").alias("_j"), *a)
+    right = cells.select(key, F.col("_to").alias("_i"), F.col("_at").alias("_j"), *b)
+    big = left.join(right, [key, "_i", "_j"]).where("a < b").drop(key, "_i", "_j")
+    return plain.select(key, *a).join(plain.select(key, *b), key).where("a < b").drop(key).unionByName(big)
+
+
+def pair_counts(g: PropertyGraph, rel_type: Types, direction: Direction | str = OUT, sources: DataFrame | None = None, *, block: int = 1000) -> DataFrame:
     """(a, b, n), a <= b: unordered neighbour pairs of each source, counted over all sources (parallel relationships pair up too).
 
     A source's neighbours are first counted, so m parallel relationships are one row and give m1*m2 pairs (or m*(m-1)/2 with
@@ -92,17 +113,15 @@ def pair_counts(g: PropertyGraph, rel_type: Types, direction: Direction | str =
     if sources is not None:
         adj = adj.join(sources.select(F.col("id").alias("node")), "node", "left_semi")
     m = adj.groupBy("node", "nbr").agg(F.count("*").alias("m"))
-    other = m.select("node", F.col("nbr").alias("b"), F.col("m").alias("mb"))
-    pairs = m.select("node", F.col("nbr").alias("a"), "m").join(other, "node").where("a < b").select("a", "b", (F.col("m") * F.col("mb")).alias("k"))
+    pairs = _paired(m, "node", "nbr", ["m"], block=block).select("a", "b", (F.col("m") * F.col("_m")).alias("k"))
     own = m.where("m > 1").select(F.col("nbr").alias("a"), F.col("nbr").alias("b"), F.floor(F.col("m") * (F.col("m") - 1) / 2).alias("k"))
     return pairs.unionByName(own).groupBy("a", "b").agg(F.sum("k").alias("n"))
 
 
-def shared_neighbors(g: PropertyGraph, rel_type: Types, members: DataFrame, direction: Direction | str = OUT, *, least: int = 1) -> DataFrame:
+def shared_neighbors(g: PropertyGraph, rel_type: Types, members: DataFrame, direction: Direction | str = OUT, *, least: int = 1, block: int = 1000) -> DataFrame:
     """(a, b, n), a < b: pairs of members by the number of distinct neighbours they share."""
-    adj = g.adj(direction, rel_type).select("node", "nbr").distinct().join(members.select(F.col("id").alias("node")), "node", "left_semi")
-    left, right = adj.select(F.col("node").alias("a"), "nbr"), adj.select(F.col("node").alias("b"), "nbr")
-    return left.join(right, "nbr").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    adj = g.adj(direction, rel_type).join(members.select(F.col("id").alias("node")), "node", "left_semi").select("node", "nbr").distinct()
+    return _paired(adj, "nbr", "node", block=block).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def top(df: DataFrame, k: int, by: str = "n", keys: Sequence[str] = ()) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalar import tokenize
 from ..graph import PropertyGraph
+from ..storage import stored
 
 #: BM25 parameters (fixed values).
 K1, B = 1.2, 0.75
@@ -59,13 +60,13 @@ def search(g: PropertyGraph, label: str, key: str, query: str, ix: FullTextIndex
     if not asked or key not in g.property_keys():
         return g.spark.createDataFrame([], "id long")
     if ix is None:
-        has = F.array_contains
-        tokens = F.col("_tokens")
-        df = g.with_label(label).select("id", tokenize(F.col(key)).alias("_tokens"))
-        cond = F.lit(True)
+        # The letters first: only texts that hold them all meet a regular expression.
+        df = g.with_label(label).select("id", F.lower(F.col(key)).alias("_low"))
         for t in asked:
-            cond = cond & has(tokens, t)
-        return df.where(cond).select("id")
+            df = df.where(F.contains("_low", F.lit(t)))
+        for t in asked:
+            df = df.where(F.col("_low").rlike(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"))
+        return df.select("id")
     hits = ix.postings.where(F.col("token").isin(asked)).groupBy("id").agg(F.count("*").alias("n"))
     return hits.where(F.col("n") == len(asked)).select("id")
 
@@ -98,19 +99,24 @@ def _best(scored: DataFrame, k: int | None) -> DataFrame:
 
 
 def _ranked_by_scan(g: PropertyGraph, label: str, key: str, asked: list[str], k: int | None) -> DataFrame:
-    """The same ranking without an index: the query's tokens are counted within each text, so that nothing but the top rows is shuffled."""
+    """The same ranking without an index, in one pass over the texts: lengths and frequencies are counted by regular expressions, only
+    for texts that hold a token's letters at all; rows that match are written, the sums over all documents are observed on the way."""
     terms = sorted(set(asked))
-    docs = g.with_label(label).select("id", tokenize(F.col(key)).alias("_t")).where(F.size("_t") > 0)
-    count = lambda t: F.size(F.filter("_t", lambda x: x == t))
-    tf = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = docs.select("id", F.size("_t").alias("len"), *tf)
-    row = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"), *[F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))]).first()
-    if not row.n:
+    low = g.with_label(label).select("id", F.lower(F.coalesce(F.col(key), F.lit(""))).alias("_low"))
+    low = low.withColumn("len", F.regexp_count("_low", F.lit(r"[\p{L}\p{N}]++")))
+    whole = lambda t: F.lit(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])")  # noqa: E731  a token is letters and digits only
+    tf = [F.when(F.contains("_low", F.lit(t)), F.regexp_count("_low", whole(t))).otherwise(0).alias(f"tf{i}") for i, t in enumerate(terms)]
+    sums = Observation()
+    counted = low.where("len > 0").observe(sums, F.count(F.lit(1)).alias("n"), F.sum(F.col("len").cast("long")).alias("total"))
+    hits, _ = stored(counted.where(F.greatest(*[F.contains("_low", F.lit(t)) for t in terms], F.lit(False))).select("id", "len", *tf), "hits")
+    n, total = sums.get["n"], sums.get["total"]
+    if not n:
         return g.spark.createDataFrame([], "id long, score double")
-    score, hit = F.lit(0.0), F.lit(False)
+    found = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
+    row = hits.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)) for c in found]).first()
+    score = F.lit(0.0)
     for i, t in enumerate(terms):
-        f, df = F.col(f"tf{i}").cast("double"), row[f"df{i}"]
-        norm = f + K1 * (1 - B + B * F.col("len") / F.lit(row.total / row.n))
-        score = score + F.lit(asked.count(t) * math.log(1 + (row.n - df + 0.5) / (df + 0.5))) * f * (K1 + 1) / norm
-        hit = hit | (F.col(f"tf{i}") > 0)
-    return _best(counted.where(hit).select("id", score.alias("score")), k)
+        f, df = F.col(f"tf{i}").cast("double"), row[i]
+        norm = f + K1 * (1 - B + B * F.col("len") / F.lit(total / n))
+        score = score + F.lit(asked.count(t) * math.log(1 + (n - df + 0.5) / (df + 0.5))) * f * (K1 + 1) / norm
+    return _best(hits.where(F.greatest(*found, F.lit(False))).select("id", score.alias("score")), k)

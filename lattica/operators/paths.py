@@ -52,37 +52,47 @@ class ShortestPaths:
             if at.isEmpty():
                 break
             out = out.unionByName(at)
+        else:
+            raise RuntimeError(f"a path is longer than {max_steps} steps")
         return out.select("target", "step", "id")
 
 
-def relax(edges: DataFrame, source: int, *, target: int | None = None, max_rounds: int = 100_000) -> DataFrame:
+def relax(edges: DataFrame, source: int, *, target: int | None = None, max_rounds: int = 100_000, compact: int = 8) -> DataFrame:
     """(id, dist, pred) from ``edges`` (node, nbr, w >= 0). With a target, nothing farther than the target is followed or kept.
 
+    Edges are dealt by their node once and cached. A round follows the nodes that the last one improved and keeps those it
+    improves; what is known is the table of the last compaction and the improvements since, of which the best counts. Every
+    ``compact`` rounds it is put together anew and written to the shared folder.
     Of equal distances the smaller predecessor counts. Negative or null weights are left out (a null weight: no passage).
     """
     spark = edges.sparkSession
-    edges = edges.where("w >= 0")
-    # One table holds all that is known; ``fresh`` marks what the last round improved, which is what the next one follows.
-    known = cut(spark.createDataFrame([(source, 0.0, None, True)], "id long, dist double, pred long, fresh boolean"))
-    for _ in range(max_rounds):
-        front = known.where("fresh").select(F.col("id").alias("node"), "dist")
-        step = edges.join(front, "node").select(F.col("nbr").alias("id"), F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("node").alias("p")).alias("c"))
-        if target is not None:
-            row = known.where(F.col("id") == target).first()
-            if row:
-                step = step.where(F.col("c.d") <= row.dist)
-        best = step.groupBy("id").agg(F.min("c").alias("c")).select("id", F.col("c.d").alias("nd"), F.col("c.p").alias("np"))
-        better = F.coalesce(F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")) | ((F.col("nd") == F.col("dist")) & (F.col("np") < F.col("pred")))), F.lit(False))
-        joined = known.drop("fresh").join(best, "id", "full").withColumn("fresh", better)
-        known = cut(joined.select("id", F.when(F.col("fresh"), F.col("nd")).otherwise(F.col("dist")).alias("dist"), F.when(F.col("fresh"), F.col("np")).otherwise(F.col("pred")).alias("pred"), "fresh"))
-        if known.where("fresh").isEmpty():
+    edges = edges.where("w >= 0").select("node", F.col("nbr").alias("id"), "w").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").persist()
+    none = F.lit(-1).cast("long")  # the source's predecessor, smaller than any other
+    best = lambda df: df.groupBy("id").agg(F.min(F.struct("dist", "pred")).alias("c")).select("id", "c.dist", "c.pred")
+    known = front = spark.createDataFrame([(source, 0.0, -1)], "id long, dist double, pred long")
+    bound = None
+    for k in range(max_rounds):
+        step = edges.join(front.select(F.col("id").alias("node"), F.col("dist").alias("_d")), "node").select("id", (F.col("_d") + F.col("w")).alias("dist"), F.col("node").alias("pred"))
+        if bound is not None:
+            step = step.where(F.col("dist") <= bound)
+        # Old and new side by side: an id is improved where the least is a new one.
+        both = known.select("id", "dist", "pred", F.lit(0).alias("new")).unionAll(step.select("id", "dist", "pred", F.lit(1).alias("new")))
+        least = both.groupBy("id").agg(F.min(F.struct("dist", "pred", "new")).alias("c")).where("c.new = 1")
+        front = cut(least.select("id", "c.dist", "c.pred"))
+        reached = front.agg(F.count("*"), F.min(F.when(F.col("id") == (target if target is not None else -1), F.col("dist")))).first()
+        if not reached[0]:
             break
-    known = known.drop("fresh")
-    if target is not None:
-        row = known.where(F.col("id") == target).first()
-        if row:
-            known = known.where(F.col("dist") <= row.dist)
-    return known
+        if reached[1] is not None:
+            bound = reached[1]
+        known = known.unionByName(front)
+        if k % compact == compact - 1:
+            known = cut(best(known))
+    else:
+        raise RuntimeError(f"distances still improve after {max_rounds} rounds")
+    out = best(known).select("id", "dist", F.nullif("pred", none).alias("pred"))
+    out = cut(out if bound is None else out.where(F.col("dist") <= bound))
+    edges.unpersist()
+    return out
 
 
 def _edges(g: PropertyGraph, direction: Direction | str, types: Types, weight: Column | None) -> DataFrame:
@@ -94,7 +104,7 @@ def _edges(g: PropertyGraph, direction: Direction | str, types: Types, weight: C
 
 def dijkstra(g: PropertyGraph, source: int, direction: Direction | str = OUT, types: Types = None, *, weight: Column | None = None, target: int | None = None) -> ShortestPaths:
     """Shortest paths from one node. ``weight`` is an expression over a relationship's columns (None: 1 each)."""
-    return ShortestPaths(relax(cut(_edges(g, direction, types, weight)), source, target=target), source)
+    return ShortestPaths(relax(_edges(g, direction, types, weight), source, target=target), source)
 
 
 def dijkstra_pair_weights(g: PropertyGraph, source: int, pairs: DataFrame, direction: Direction | str = BOTH, types: Types = None, *, base: float = 0.0, prune_missing: bool = True, target: int | None = None) -> ShortestPaths:
@@ -104,7 +114,7 @@ def dijkstra_pair_weights(g: PropertyGraph, source: int, pairs: DataFrame, direc
     cost = F.try_divide(F.lit(1.0), F.col("weight") + F.lit(float(base)))
     if not prune_missing:
         cost = F.coalesce(cost, F.lit(1.0 / base if base else None).cast("double"))
-    return ShortestPaths(relax(cut(keyed.select("node", "nbr", cost.alias("w"))), source, target=target), source)
+    return ShortestPaths(relax(keyed.select("node", "nbr", cost.alias("w")), source, target=target), source)
 
 
 def shortest_path(g: PropertyGraph, source: int, target: int, direction: Direction | str = BOTH, types: Types = None, *, weight_property: str | None = None) -> float | None:
