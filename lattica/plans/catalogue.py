@@ -45,7 +45,7 @@ def _nid(key: str, label: str) -> str:
 
 
 _CUST, _SUPP, _PART, _ORD = (lambda k: _nid(k, "Customer")), (lambda k: _nid(k, "Supplier")), (lambda k: _nid(k, "Part")), (lambda k: _nid(k, "Order"))
-_MSG = "(conv_id * 1000 + turn)::BIGINT * 16 + 9"
+_MSG = "(conv_id * 1048576 + turn)::BIGINT * 16 + 9"
 _HASPART = f"SELECT {_ORD('l_orderkey')} AS o, {_PART('l_partkey')} AS p FROM lineitem"
 _SUPPLIES = f"SELECT DISTINCT {_SUPP('l_suppkey')} AS s, {_PART('l_partkey')} AS p FROM lineitem"
 _BUYS = f"SELECT {_CUST('o_custkey')} AS c, {_SUPP('l_suppkey')} AS s, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"
@@ -108,10 +108,11 @@ def node_by_label_property_min(g):
     return scan.node_with_label_property(g, "Part", "size", 15)
 
 
-@query("Customer Supplier Part", sql="SELECT min(id) AS id FROM (SELECT " + _CUST("c_custkey") + " AS id FROM customer WHERE c_name = (SELECT min(c_name) FROM customer WHERE c_custkey = 7))")
+@query("Customer Supplier Part", sql=f"""WITH n AS (SELECT {_CUST('c_custkey')} AS id, c_name AS name FROM customer UNION ALL SELECT {_SUPP('s_suppkey')}, s_name FROM supplier UNION ALL SELECT {_PART('p_partkey')}, p_name FROM part)
+SELECT min(id) AS id FROM n WHERE name = (SELECT max(name) FROM n)""")
 def node_by_property_any_label(g):
-    name = g.with_label("Customer").where(F.col("id") == 7 * 16 + 2).first()["name"]
-    return scan.node_with_property(g, "name", name)
+    """The least node, of any label, that has the last name of all."""
+    return scan.node_with_property(g, "name", g.nodes.agg(F.max("name")).first()[0])
 
 
 @query("Customer Supplier", sql=f"SELECT {_CUST('c_custkey')} AS id, true AS has_label FROM customer UNION ALL SELECT {_SUPP('s_suppkey')}, false FROM supplier")
@@ -129,9 +130,29 @@ def rel_prop_scan(g):
     return scan.rel_prop(g, "qty", "hasPart").drop("rel_id")
 
 
-@query(types="hasPart", sql=f"SELECT {_ORD('l_orderkey')} AS src, {_PART('l_partkey')} AS dst, min({_ORD('l_orderkey')}) * 268435456 + min({_PART('l_partkey')}) AS rel_id FROM lineitem WHERE l_partkey < 50 GROUP BY l_orderkey, l_partkey")
+#: Lines with their relationships' ordinals.
+_LINE = f"""SELECT {_ORD('l_orderkey')} AS src, {_PART('l_partkey')} AS dst, l_quantity AS qty, (l_orderkey * 65536 + row_number() OVER (PARTITION BY l_orderkey
+ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax))::BIGINT * 16 + 3 AS rel_id FROM lineitem"""
+
+
+@query(types="hasPart", sql=f"SELECT src, dst, min(rel_id) AS rel_id FROM ({_LINE}) GROUP BY src, dst")
 def relationship_by_nodes(g):
-    return scan.relationship_by_nodes(g, g.rels.where(F.col("dst") < 50 * 16))
+    return scan.relationship_by_nodes(g, g.rels)
+
+
+@query(types="hasPart", sql=f"SELECT rel_id, src, dst, qty FROM ({_LINE})")
+def all_relationships(g):
+    return scan.all_relationships(g).select("rel_id", "src", "dst", "qty")
+
+
+@query(types="hasPart", sql=f"SELECT rel_id, src, dst FROM ({_LINE}) WHERE rel_id = (SELECT max(rel_id) FROM ({_LINE}))")
+def relationship_at(g):
+    return scan.relationship(g, g.rels.agg(F.max("rel_id")).first()[0]).select("rel_id", "src", "dst")
+
+
+@query(types="isPartOf", sql=f"""SELECT n_nationkey::BIGINT * 16 AS rel_id, '{{"rel_id":' || n_nationkey * 16 || ',"start_node":' || n_nationkey * 16 + 1 || ',"end_node":' || n_regionkey * 16 || ',"rel_type":"isPartOf","properties":{{}}}}' AS json FROM nation""")
+def relationship_json(g):
+    return scan.relationship_json(g)
 
 
 @query("", "placed isPartOf", sql=f"SELECT {_nid('n_nationkey', 'Nation')} AS src, {_nid('n_regionkey', 'Region')} AS dst FROM nation")
@@ -343,7 +364,19 @@ def neighborhood_exact_2(g):
     return traverse.neighborhood(g, ids(g.spark, [_START]), OUT, None, 2, 2)
 
 
-@query("Nation Region Customer", "isPartOf isLocatedIn", sql="SELECT true AS down, false AS wrong_way, true AS both_ways, true AS itself, false AS unknown_type, true AS legacy_unknown")
+_DOWN = f"(SELECT {_nid('n_regionkey', 'Region')} FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 0)"
+
+
+def _walk(edges: str, start: str, target: str) -> str:
+    return f"(WITH RECURSIVE e AS ({edges}), w AS (SELECT {start} AS id UNION SELECT b FROM e JOIN w ON a = id) SELECT count(*) > 0 FROM w WHERE id = {target})"
+
+
+_FORWARD = f"SELECT {_nid('n_nationkey', 'Nation')} AS a, {_nid('n_regionkey', 'Region')} AS b FROM nation UNION SELECT {_CUST('c_custkey')}, {_nid('c_nationkey', 'Nation')} FROM customer UNION SELECT {_SUPP('s_suppkey')}, {_nid('s_nationkey', 'Nation')} FROM supplier"
+_BOTHWAYS = f"SELECT a, b FROM ({_FORWARD}) UNION SELECT b, a FROM ({_FORWARD})"
+
+
+@query("Nation Region Customer", "isPartOf isLocatedIn", sql=f"""SELECT {_walk(_FORWARD, f'{_START}::BIGINT', _DOWN)} AS down, {_walk(_FORWARD, _DOWN, f'{_START}::BIGINT')} AS wrong_way, {_walk(_BOTHWAYS, _DOWN, f'{_START}::BIGINT')} AS both_ways,
+{_walk(f'SELECT a, b FROM ({_FORWARD}) WHERE false', f'{_START}::BIGINT', f'{_START}::BIGINT')} AS itself, {_walk(f'SELECT a, b FROM ({_FORWARD}) WHERE false', f'{_START}::BIGINT', _DOWN)} AS unknown_type, {_walk(_FORWARD, f'{_START}::BIGINT', _DOWN)} AS legacy_unknown""")
 def can_reach(g):
     """From a customer to its region, and what must not be found."""
     region = expand.follow(g, ids(g.spark, [_START]), [(OUT, "isLocatedIn"), (OUT, "isPartOf")]).first().target
@@ -352,15 +385,53 @@ def can_reach(g):
     return g.spark.createDataFrame([row], "down boolean, wrong_way boolean, both_ways boolean, itself boolean, unknown_type boolean, legacy_unknown boolean")
 
 
+_S1 = f"SELECT {_SUPP('s_suppkey')} AS id FROM supplier WHERE s_acctbal > 5000"
+
+
 @query("Customer Nation Region Supplier", "isPartOf isLocatedIn", sql=f"""
-WITH {_UNDIRECTED}, {_levels('SELECT a, b FROM e', _S0, 2).replace('seen', 'f')}, r AS (SELECT {_SUPP('0')} AS id), m0 AS (SELECT id, 0 AS depth FROM r),
-m1 AS (SELECT DISTINCT b AS id FROM e JOIN m0 ON a = m0.id WHERE b NOT IN (SELECT id FROM m0)), m2 AS (SELECT DISTINCT b AS id FROM e JOIN m1 ON a = m1.id WHERE b NOT IN (SELECT id FROM m0 UNION SELECT id FROM m1))
-SELECT id FROM f WHERE id IN (SELECT id FROM m0 UNION SELECT id FROM m1 UNION SELECT id FROM m2)""")
+WITH {_UNDIRECTED}, x AS (WITH {_levels('SELECT a, b FROM e', _S0, 2)} SELECT id FROM seen), y AS (WITH {_levels('SELECT a, b FROM e', _S1, 2)} SELECT id FROM seen) SELECT id FROM x WHERE id IN (SELECT id FROM y)""")
 def bidirectional_bfs_nodes(g):
-    return traverse.bidirectional_bfs(g, ids(g.spark, [_START]), ids(g.spark, [_C["Supplier"]]), BOTH, max_depth=2)[0]
+    """Two hops from a customer and from all suppliers of some wealth."""
+    rich = g.with_label("Supplier").where("acctbal > 5000").select("id")
+    return traverse.bidirectional_bfs(g, ids(g.spark, [_START]), rich, BOTH, max_depth=2)[0]
+
+
+def _two_sided(edges: str) -> str:
+    """Reach of the start (f) and backward reach of the target (r), of any depth."""
+    return f"""e AS ({edges}), f AS (SELECT {_START}::BIGINT AS id UNION SELECT b FROM e JOIN f ON a = f.id), r AS (SELECT {_nid('1', 'Region')} AS id UNION SELECT a FROM e JOIN r ON b = r.id)"""
 
 
-@query("Message", "replyOf", sql=f"SELECT {_MSG} AS id, (conv_id * 1000)::BIGINT * 16 + 9 AS target FROM conversations")
+_DOWN_E = f"SELECT c AS a, s AS b, 'buysFrom' AS t FROM ({_BUYS}) UNION ALL SELECT {_SUPP('s_suppkey')}, {_nid('s_nationkey', 'Nation')}, 'isLocatedIn' FROM supplier UNION ALL SELECT {_CUST('c_custkey')}, {_nid('c_nationkey', 'Nation')}, 'isLocatedIn' FROM customer UNION ALL SELECT {_nid('n_nationkey', 'Nation')}, {_nid('n_regionkey', 'Region')}, 'isPartOf' FROM nation"
+
+
+@query("Customer Supplier Nation Region", "buysFrom isLocatedIn isPartOf", sql=f"WITH RECURSIVE {_two_sided(_DOWN_E)} SELECT a AS node, b AS nbr, t AS rel_type FROM e WHERE a IN (SELECT id FROM f) AND b IN (SELECT id FROM f) AND a IN (SELECT id FROM r) AND b IN (SELECT id FROM r)")
+def bidirectional_bfs_rels(g):
+    """All relationships on ways from a customer to a region."""
+    return traverse.bidirectional_bfs(g, ids(g.spark, [_START]), ids(g.spark, [16]), OUT, path_only=True)[1].select("node", "nbr", "rel_type")
+
+
+@query("Customer Supplier Part", "buysFrom supplies", sql=f"WITH {_levels(_E_OUT, _S0, 2)} SELECT id, depth FROM seen WHERE depth > 0")
+def bfs_without_starts(g):
+    return traverse.bfs(g, ids(g.spark, [_START]), OUT, include_starts=False)[0]
+
+
+@query("Customer Order Part", "placed hasPart", sql=f"SELECT {_CUST('o_custkey')} AS node, {_ORD('o_orderkey')} AS nbr, o_orderkey::BIGINT * 16 + 2 AS rel_id FROM orders WHERE o_custkey = 0 UNION ALL SELECT src, dst, rel_id FROM ({_LINE}) WHERE src IN (SELECT {_ORD('o_orderkey')} FROM orders WHERE o_custkey = 0)")
+def bfs_rels_parallel(g):
+    """Every line of a customer's orders is met, also those of one part."""
+    return traverse.bfs(g, ids(g.spark, [_START]), OUT, max_depth=2)[1].select("node", "nbr", "rel_id")
+
+
+@query("Customer Supplier Part", "buysFrom supplies", sql=f"WITH {_levels(f'SELECT a, b FROM ({_E_OUT}) WHERE b % 3 <> 0', _S0, 2)} SELECT id, depth FROM seen")
+def bfs_python_node_filter(g):
+    return traverse.bfs_distances(g, ids(g.spark, [_START]), OUT, node_filter=lambda i: i % 3 != 0 or i == _START)
+
+
+@query("Customer Supplier Part", "buysFrom supplies", sql=f"WITH {_levels(f'SELECT a, b FROM ({_E_OUT}) WHERE (a + b) % 5 <> 0', _S0, 2)} SELECT id, depth FROM seen")
+def bfs_python_rel_filter(g):
+    return traverse.bfs_distances(g, ids(g.spark, [_START]), OUT, rel_filter=lambda node, nbr, kind, rel_id: (node + nbr) % 5 != 0 and kind in ("buysFrom", "supplies") and rel_id >= 0)
+
+
+@query("Message", "replyOf", sql=f"SELECT {_MSG} AS id, (conv_id * 1048576)::BIGINT * 16 + 9 AS target FROM conversations")
 def roots_via_reply(g):
     return traverse.roots_via(g, "replyOf")
 
@@ -409,14 +480,22 @@ def dijkstra_pair_weights(g):
     return paths.dijkstra_pair_weights(g, _START, pairs, BOTH, base=0.5).distances().select("id", F.round("dist", 6).alias("dist"))
 
 
-@query("Customer Supplier", "buysFrom", sql=f"WITH {_relaxed(_E_BUYS, _START, 7)} SELECT b.id, count(*) > 0 AS on_path FROM r7 b WHERE b.id = {16 + 2} AND dist IS NOT NULL GROUP BY b.id")
+@query("Customer Supplier", "buysFrom", sql=f"WITH {_relaxed(_E_BUYS, _START, 7)} SELECT id, dist AS cost FROM r7")
 def path_nodes(g):
-    """Whether the path found is one: its steps exist and add up to its cost."""
-    found = paths.dijkstra(g, _START, BOTH, weight=F.col("weight"), target=16 + 2)
-    path = found.path_to(16 + 2)
-    steps = g.spark.createDataFrame(list(zip(path, path[1:], strict=False)), "node long, nbr long")
-    cost = steps.join(g.adj(BOTH, props=["weight"]), ["node", "nbr"]).groupBy("node", "nbr").agg(F.min("weight").alias("w")).agg(F.sum("w").alias("cost"), F.count("*").alias("n"))
-    return cost.select(F.lit(16 + 2).cast("long").alias("id"), ((F.abs(F.col("cost") - F.lit(found.distance(16 + 2))) < 1e-9) & (F.col("n") == len(path) - 1)).alias("on_path"))
+    """The paths to all nodes, step by step: the least weights of their steps add up to the distance."""
+    found = paths.dijkstra(g, _START, BOTH, weight=F.col("weight"))
+    steps = found.paths(found.reached())
+    nxt = steps.select("target", (F.col("step") - 1).alias("step"), F.col("id").alias("node"))
+    least = g.adj(BOTH, props=["weight"]).groupBy("node", "nbr").agg(F.min("weight").alias("w"))
+    walked = steps.join(nxt, ["target", "step"], "left").join(least, (F.col("nbr") == F.col("id")) & (least["node"] == nxt["node"]), "left")
+    return walked.groupBy(F.col("target").alias("id")).agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("cost"))
+
+
+@query("Customer Supplier", "buysFrom", sql=f"WITH {_relaxed(_E_BUYS, _START, 7)} SELECT id, dist AS cost FROM r7 WHERE id IN ({16 * 3 + 2}, {16 * 5 + 3}, {16 * 9 + 2}) AND id IN (SELECT a FROM ({_E_BUYS}))")
+def weighted_shortest_path(g):
+    """Costs between a customer and some others, each search of its own."""
+    rows = [(t, paths.weighted_shortest_path(g, _START, t, BOTH, weight=F.col("weight"))) for t in (16 * 3 + 2, 16 * 5 + 3, 16 * 9 + 2)]
+    return g.spark.createDataFrame([r for r in rows if r[1] is not None], "id long, cost double")
 
 
 # ---- folding -----------------------------------------------------------------------------------------------------------
@@ -432,10 +511,18 @@ def fold_via_pairs(g):
     return fold.fold_via(g, "suppliedBy", of_order.unionByName(of_supplier))
 
 
-@query("Nation", "isLocatedIn", sql="SELECT 17::BIGINT AS x, 33::BIGINT AS y, 5::BIGINT AS weight UNION ALL SELECT 33, 17, 5 UNION ALL SELECT 17, 49, NULL")
+@query("Nation Customer Order Supplier", "suppliedBy placed isLocatedIn", sql=f"""
+WITH f AS (SELECT {_nid('c_nationkey', 'Nation')} AS pa, {_nid('s_nationkey', 'Nation')} AS pb FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+w AS (SELECT least(pa, pb) AS a, greatest(pa, pb) AS b, count(*) AS weight FROM f WHERE pa <> pb GROUP BY ALL),
+k AS (SELECT {_nid('p.n_nationkey', 'Nation')} AS x, {_nid('q.n_nationkey', 'Nation')} AS y FROM nation p, nation q)
+SELECT x, y, weight FROM k LEFT JOIN w ON a = least(x, y) AND b = greatest(x, y)""")
 def pair_weight_lookup(g):
-    pairs = g.spark.createDataFrame([(17, 33, 5)], "a long, b long, weight long")
-    return fold.pair_weight(pairs, g.spark.createDataFrame([(17, 33), (33, 17), (17, 49)], "x long, y long"))
+    """The trade of every two nations, asked in either order."""
+    nations = [r.id for r in g.with_label("Nation").select("id").collect()]  # a fixed number of them
+    asked = g.spark.createDataFrame([(x, y) for x in nations for y in nations], "x long, y long")
+    of_order = expand.follow(g, g.with_label("Order").select("id"), [(IN, "placed"), (OUT, "isLocatedIn")])
+    of_supplier = expand.follow(g, g.with_label("Supplier").select("id"), [(OUT, "isLocatedIn")])
+    return fold.pair_weight(fold.fold_via(g, "suppliedBy", of_order.unionByName(of_supplier)), asked)
 
 
 @query("", "hasPart", sql=f"WITH h AS ({_HASPART}) SELECT y.p AS id, count(*) AS n FROM h x JOIN h y ON x.o = y.o WHERE x.p = 4 AND y.p <> 4 GROUP BY y.p")
@@ -577,7 +664,7 @@ def pagerank_undirected(g):
     return analytics.pagerank(g, directed=False, iterations=5).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("Message", "replyOf", sql=f"SELECT {_MSG} AS id, (conv_id * 1000)::BIGINT * 16 + 9 AS component FROM conversations")
+@query("Message", "replyOf", sql=f"SELECT {_MSG} AS id, (conv_id * 1048576)::BIGINT * 16 + 9 AS component FROM conversations")
 def wcc(g):
     return analytics.wcc(g)
 
@@ -602,18 +689,20 @@ def cdlp_seeded(g):
     return analytics.cdlp(g, iterations=2, seeds=g.nodes.select("id", (F.col("id") % 7).alias("label")))
 
 
-_TRI_E = f"SELECT {_CUST('c_custkey')} AS a, {_nid('c_nationkey', 'Nation')} AS b FROM customer WHERE c_custkey < 300 UNION SELECT {_CUST('c_custkey')}, {_CUST('(c_custkey + 1) % 300')} FROM customer WHERE c_custkey < 300 UNION SELECT {_CUST('c_custkey')}, {_CUST('(c_custkey * 7) % 300')} FROM customer WHERE c_custkey < 300 UNION SELECT {_CUST('(c_custkey * 3) % 300')}, {_CUST('c_custkey')} FROM customer WHERE c_custkey < 300"
+_N_CUST = "(SELECT count(*) FROM customer)"
+_TRI_E = f"SELECT {_CUST('c_custkey')} AS a, {_nid('c_nationkey', 'Nation')} AS b FROM customer UNION SELECT {_CUST('c_custkey')}, {_CUST(f'(c_custkey + 1) % {_N_CUST}')} FROM customer UNION SELECT {_CUST('c_custkey')}, {_CUST(f'(c_custkey * 7) % {_N_CUST}')} FROM customer UNION SELECT {_CUST(f'(c_custkey * 3) % {_N_CUST}')}, {_CUST('c_custkey')} FROM customer"
 
 
 def _ring(g: PropertyGraph) -> PropertyGraph:
-    """Customers under 300 with their nation, and chords between them: a graph with triangles."""
-    c = g.with_label("Customer").where(F.col("id") < 300 * 16).select(F.floor(F.col("id") / 16).alias("k"))
-    to = lambda e: (e * 16 + 2).cast("long")
-    chords = [c.select(to(F.col("k")).alias("src"), to((F.col("k") + 1) % 300).alias("dst")), c.select(to(F.col("k")).alias("src"), to((F.col("k") * 7) % 300).alias("dst")), c.select(to((F.col("k") * 3) % 300).alias("src"), to(F.col("k")).alias("dst"))]
-    rels = g.rels.where(F.col("src") % 16 == 2).where(F.col("src") < 300 * 16).select("src", "dst")
-    for x in chords:
-        rels = rels.union(x)
-    return PropertyGraph(g.nodes, rels.select(F.lit(0).cast("long").alias("rel_id"), "src", "dst", F.lit("t").alias("rel_type")))
+    """All customers with their nation, and chords between customers: a graph with triangles and hubs."""
+    n = g.with_label("Customer").count()
+    k = F.floor(F.col("id") / 16)
+    c = g.with_label("Customer").select(F.col("id").alias("own"), k.alias("k"))
+    to = lambda e: (F.pmod(e, F.lit(n)) * 16 + 2).cast("long")
+    pairs = F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in ((F.col("own"), to(F.col("k") + 1)), (F.col("own"), to(F.col("k") * 7)), (to(F.col("k") * 3), F.col("own")))])
+    chords = c.select(F.explode(pairs).alias("p")).select("p.src", "p.dst")
+    rels = g.rels.where(F.col("src") % 16 == 2).select("src", "dst").union(chords).select(F.monotonically_increasing_id().alias("rel_id"), "src", "dst", F.lit("t").alias("rel_type"))
+    return PropertyGraph(g.nodes, rels)
 
 
 def _lcc_sql(both: bool) -> str:
@@ -764,11 +853,13 @@ def _ref_composite(loader, t):
     return loader.load_relationships(t("customer"), IdRef("c_custkey"), CompositeRef(("c_nationkey", "c_mktsegment"), ("nation", "segment"), "Key"), fixed_rel_type="like")
 
 
-@loaded("missing_endpoint_filter", "SELECT count(*) AS made, (SELECT count(*) FROM orders) - count(*) AS skipped FROM orders WHERE o_custkey < 500")
+@loaded("missing_endpoint_filter", "SELECT count(*) AS made, (SELECT count(*) FROM orders) - count(*) AS skipped FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def _missing(loader, t):
-    loader.load_nodes(t("customer").where("c_custkey < 500").select("c_custkey"), node_id_column="c_custkey")
-    loader.load_nodes(t("orders").select((F.col("o_orderkey") + 1_000_000).alias("id")), node_id_column="id")
-    made = loader.load_relationships(t("orders").withColumn("o", F.col("o_orderkey") + 1_000_000), "o_custkey", "o", fixed_rel_type="placed")
+    """Orders of customers in credit: the others have no customer node to start from."""
+    loader.load_nodes(t("customer").where("c_acctbal > 0").select("c_custkey"), node_id_column="c_custkey")
+    top = t("customer").agg(F.max("c_custkey")).first()[0] + 1
+    loader.load_nodes(t("orders").select((F.col("o_orderkey") + top).alias("id")), node_id_column="id")
+    made = loader.load_relationships(t("orders").withColumn("o", F.col("o_orderkey") + top), "o_custkey", "o", fixed_rel_type="placed")
     return made.agg(F.count("*").alias("made")).crossJoin(F.broadcast(loader.skipped[0]))
 
 
@@ -800,9 +891,12 @@ def ranked_ids(g):
     return corpus.ranked_ids(docs).select("key", "id")
 
 
-@query("Message", sql="""WITH d AS (SELECT conv_id * 1000 + turn AS key, row_number() OVER (ORDER BY length(text) DESC, conv_id, turn) - 1 AS id, turn FROM conversations)
+@query("Message", sql="""WITH d AS (SELECT conv_id * 1048576 + turn AS key, row_number() OVER (ORDER BY length(text) DESC, conv_id, turn) - 1 AS id, turn FROM conversations)
 SELECT a.id AS src, b.id AS dst FROM d a JOIN d b ON b.key = a.key - 1 WHERE a.turn > 0""")
 def corpus_links(g):
     key = F.floor(F.col("id") / 16)
     docs = g.nodes.select(key.alias("key"), key.alias("seq"), F.length("text").alias("rank"), "text", F.array(key - 1, F.lit(-5).cast("long")).alias("links"))
     return corpus.build_shared_corpus(docs).graph.rels.select("src", "dst")
+
+
+from . import catalogue_io  # noqa: E402, F401  registers loaders, saved graphs, builders and the rest
