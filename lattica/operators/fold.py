@@ -83,14 +83,14 @@ def neighbor_groups(g: PropertyGraph, sources: DataFrame, rel_type: Types, direc
     return NeighborGroups(g, sources, rel_type, direction)
 
 
-def _paired(m: DataFrame, key: str, value: str, extra: Sequence[str] = (), *, block: int = 1000) -> DataFrame:
+def _paired(m: DataFrame, key: str, value: str, extra: Sequence[str] = (), *, rows: DataFrame | None = None, block: int = 1000) -> DataFrame:
     """(a, b, *extra, *extra of b with a leading _) of every two rows of ``m`` with the same ``key``, a < b by ``value``.
 
     A key of more than ``block`` rows is cut into blocks by a hash of the value, and each pair of blocks is a join key of its own: no
-    task pairs more than two blocks, however many rows a key has.
+    task pairs more than two blocks, however many rows a key has. ``rows``: what ``m`` was made from, at least as many rows a
+    key, where counting that is cheaper.
     """
-    m = m.persist()
-    hubs = m.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_g")).where("_g > 1")
+    hubs = (m if rows is None else rows).groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_g")).where("_g > 1")
     a, b = [F.col(value).alias("a"), *extra], [F.col(value).alias("b"), *[F.col(c).alias(f"_{c}") for c in extra]]
     if hubs.isEmpty():
         return m.select(key, *a).join(m.select(key, *b), key).where("a < b").drop(key)
@@ -113,15 +113,15 @@ def pair_counts(g: PropertyGraph, rel_type: Types, direction: Direction | str =
     if sources is not None:
         adj = adj.join(sources.select(F.col("id").alias("node")), "node", "left_semi")
     m = adj.groupBy("node", "nbr").agg(F.count("*").alias("m"))
-    pairs = _paired(m, "node", "nbr", ["m"], block=block).select("a", "b", (F.col("m") * F.col("_m")).alias("k"))
+    pairs = _paired(m, "node", "nbr", ["m"], rows=adj.select("node"), block=block).select("a", "b", (F.col("m") * F.col("_m")).alias("k"))
     own = m.where("m > 1").select(F.col("nbr").alias("a"), F.col("nbr").alias("b"), F.floor(F.col("m") * (F.col("m") - 1) / 2).alias("k"))
     return pairs.unionByName(own).groupBy("a", "b").agg(F.sum("k").alias("n"))
 
 
 def shared_neighbors(g: PropertyGraph, rel_type: Types, members: DataFrame, direction: Direction | str = OUT, *, least: int = 1, block: int = 1000) -> DataFrame:
     """(a, b, n), a < b: pairs of members by the number of distinct neighbours they share."""
-    adj = g.adj(direction, rel_type).join(members.select(F.col("id").alias("node")), "node", "left_semi").select("node", "nbr").distinct()
-    return _paired(adj, "nbr", "node", block=block).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    adj = g.adj(direction, rel_type).join(members.select(F.col("id").alias("node")), "node", "left_semi").select("node", "nbr")
+    return _paired(adj.distinct(), "nbr", "node", rows=adj.select("nbr"), block=block).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def top(df: DataFrame, k: int, by: str = "n", keys: Sequence[str] = ()) -> DataFrame:
