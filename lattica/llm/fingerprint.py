@@ -30,20 +30,20 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 64
+LEAST_WIDTH = 8
+#: Widths, widest first, and the bytes a text has at least for each.
+WIDTHS = ((WINDOW, 512), (16, 64), (LEAST_WIDTH, 0))
 BITS = 2048
 PER_FILTER = 160
 PROBES = 5
 BYTES_PER_TASK = 32_000_000
+BYTES_PER_RUN = 32_000
 MOST_RANGES = 20_000
 _SCALE = 1 << 20
 #: Entropy of ordinary text in a window, and what a window needs to count, as shares of the most there can be.
 _TYPICAL, _LEAST = 0.68, 0.33
 
 
-def widths_of(n_bytes: int) -> list[int]:
-    return [w for w, least in ((WINDOW, 512), (16, 64), (8, 0)) if n_bytes >= least]
-
-
 @lru_cache(maxsize=1)
 def _gain() -> np.ndarray:
     """What one more occurrence adds to the sum of c*log2(c), scaled to integers, by the count before."""
@@ -69,19 +69,40 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def _entropies(raw: np.ndarray, width: int) -> np.ndarray:
-    """Scaled entropy sums (sum of c*log2(c)) of all windows of ``raw``; at least one window long."""
+def _equal_near(raw: np.ndarray, ends: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: for each of the first ``ends[width]`` bytes, how many of the width - 1 bytes after and before it equal it.
+
+    A wider window goes on from the counts of the narrower one, over no more bytes than that.
+    """
+    ahead, behind = np.zeros(len(raw), np.uint8), np.zeros(len(raw), np.uint8)
+    out, done = {}, 1
+    for width in sorted(ends):
+        end = ends[width]
+        for lag in range(done, min(width, end)):
+            same = (raw[lag:end] == raw[: end - lag]).view(np.uint8)
+            behind[lag:end] += same
+            ahead[: end - lag] += same
+        out[width], done = (ahead[:end].copy(), behind[:end].copy()), width
+    return out
+
+
+def _entropies(raw: np.ndarray, width: int, starts: np.ndarray | None = None, near: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Scaled entropy sums (sum of c*log2(c)) of all windows of ``raw``, texts of at least one window that begin at ``starts``.
+
+    Windows that reach into the next text have no meaning.
+    """
     n = len(raw)
-    ahead, behind = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # equal bytes among the others of a window after and before
-    for lag in range(1, width):
-        same = (raw[lag:] == raw[:-lag]).view(np.uint8)
-        behind[lag:] += same
-        ahead[:-lag] += same
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    ahead, behind = _equal_near(raw, {width: n})[width] if near is None else near
     gain = _gain()
-    first, counts = np.bincount(raw[:width], minlength=256), np.concatenate([[0], np.cumsum(gain)])
-    start = counts[first].sum()
-    step = gain[behind[width:]] - gain[ahead[: n - width]]
-    return start + np.concatenate([[0], np.cumsum(step)])
+    first = np.sort(raw[starts[:, None] + np.arange(width)], axis=1)
+    place = np.broadcast_to(np.arange(width), first.shape)
+    begins = np.zeros(first.shape, np.int64)
+    begins[:, 1:] = np.where(first[:, 1:] != first[:, :-1], place[:, 1:], 0)
+    start = gain[place - np.maximum.accumulate(begins, axis=1)].sum(axis=1)
+    sums = np.zeros(n - width + 1, np.int64)
+    np.cumsum(gain[behind[width:]] - gain[ahead[: n - width]], out=sums[1:])
+    return sums + np.repeat(start - sums[starts], np.diff(starts, append=n))[: len(sums)]
 
 
 def _ranks(sums: np.ndarray, width: int) -> np.ndarray:
@@ -102,49 +123,84 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def features(data: bytes) -> dict[int, np.ndarray]:
-    """64-bit hashes of a text's selected windows, in order, by width."""
-    raw = np.frombuffer(data, np.uint8)
-    n = len(raw)
-    if not n:
-        return {}
-    size = 1 << max(12, (n + 1).bit_length())
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_values()[raw] * _powers(_BASE, size)[:n], out=total[1:])
-    return {width: _hashes(total, size, *_selected(raw, width)) for width in widths_of(n)}
-
-
-def _selected(raw: np.ndarray, width: int) -> tuple[np.ndarray, int]:
-    """Where the features of a width start, and how long they are (a text under the width is one feature)."""
-    if len(raw) < width:
-        return np.zeros(1, np.int64), len(raw)
-    reach = width // 2  # a feature has the best rank within this many windows on either side
-    rank = _ranks(_entropies(raw, width), width).astype(np.int64)
+def _selected(raw: np.ndarray, width: int, starts: np.ndarray, near: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where the features of a width start, in texts of at least that many bytes that begin at ``starts``."""
+    reach = width // 2  # a feature has the best rank within this many windows on either side, which is short of the next text's
+    rank = _ranks(_entropies(raw, width, starts, near), width).astype(np.int64)
+    across = (starts[1:, None] - np.arange(1, width)).ravel()
+    rank[across] = 1 << 30
     # Of equal ranks the leftmost is best; texts without any window that counts have one feature, their first window.
     key = rank * (len(raw) + 1) + np.arange(len(rank))
     padded = np.full(len(key) + 2 * reach, np.iinfo(np.int64).max)
     padded[reach : reach + len(key)] = key
     at = np.flatnonzero((key == _window_min(padded, 2 * reach + 1)) & (rank < 1 << 30))
-    return (at if len(at) else np.zeros(1, np.int64)), width
+    found = np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(starts))
+    return np.sort(np.concatenate([at, starts[found == 0]]))
 
 
-def _hashes(total: np.ndarray, size: int, at: np.ndarray, width: int) -> np.ndarray:
-    h = (total[at + width] - total[at]) * _powers(_INVERSE, size)[at] + np.uint64(width)
+def _hashes(total: np.ndarray, size: int, at: np.ndarray, width: int | np.ndarray) -> np.ndarray:
+    h = (total[at + width] - total[at]) * _powers(_INVERSE, size)[at] + np.asarray(width).astype(np.uint64)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
+def _filters(h: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, width and filter) of the chains of a width: ``h`` are the features of the texts ``owner`` (ascending), in order."""
+    counts = np.bincount(owner)
+    chain = -(-counts // PER_FILTER)
+    nth = np.arange(len(h)) - (np.cumsum(counts) - counts)[owner]
+    bits = np.zeros((chain.sum(), BITS), bool)
+    at = (h[:, None] >> (np.arange(PROBES, dtype=np.uint64) * np.uint64(11))) & np.uint64(BITS - 1)
+    bits[np.repeat((np.cumsum(chain) - chain)[owner] + nth // PER_FILTER, PROBES), at.ravel().astype(np.int64)] = True
+    return np.repeat(np.arange(len(chain)), chain), np.concatenate([np.full((len(bits), 1), width, np.uint8), np.packbits(bits, axis=1)], axis=1)
+
+
+def digests(texts: list[bytes]) -> list[np.ndarray]:
+    """The chains of Bloom filters of each text, widest first: (filters, 1 + 256) bytes, the first of each its width.
+
+    The texts are read as one run of bytes, largest first, so that those with a width stand together.
+    """
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    lengths = np.array([len(texts[i]) for i in order], np.int64)
+    raw = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
+    starts = np.cumsum(lengths) - lengths
+    size = 1 << max(12, (len(raw) + 1).bit_length())
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_byte_values()[raw] * _powers(_BASE, size)[: len(raw)], out=total[1:])
+    last = np.cumsum(lengths)
+    held = {width: int((lengths >= max(width, least)).sum()) for width, least in WIDTHS}
+    ends = {width: int(last[k - 1]) for width, k in held.items() if k}
+    near = _equal_near(raw, ends)
+    owners, rows = [], []
+    for width, end in ends.items():
+        own = starts[: held[width]]
+        at = _selected(raw[:end], width, own, near[width])
+        found = _filters(_hashes(total, size, at, width), np.searchsorted(own, at, "right") - 1, width)
+        owners.append(found[0])
+        rows.append(found[1])
+    # A text under the least width is one feature.
+    short = np.flatnonzero((lengths > 0) & (lengths < LEAST_WIDTH))
+    if len(short):
+        found = _filters(_hashes(total, size, starts[short], lengths[short]), np.arange(len(short)), LEAST_WIDTH)
+        owners.append(short[found[0]])
+        rows.append(found[1])
+    out = [np.zeros((0, 1 + BITS // 8), np.uint8)] * len(texts)
+    if rows:
+        owner, chains = np.concatenate(owners), np.concatenate(rows)
+        by_text = np.argsort(owner, kind="stable")
+        for i, chain in zip(order, np.split(chains[by_text], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]), strict=True):
+            out[i] = chain
+    return out
+
+
 def digest(data: bytes) -> np.ndarray:
-    """The chains of Bloom filters, widest first: (filters, 1 + 256) bytes, the first of each its width."""
-    chains = [np.zeros((0, 1 + BITS // 8), np.uint8)]
-    for width, h in features(data).items():
-        k = -(-len(h) // PER_FILTER)
-        bits = np.zeros((k, BITS), bool)
-        at = (h[:, None] >> (np.arange(PROBES, dtype=np.uint64) * np.uint64(11))) & np.uint64(BITS - 1)
-        bits[np.repeat(np.arange(len(h)) // PER_FILTER, PROBES), at.ravel().astype(np.int64)] = True
-        chains.append(np.concatenate([np.full((k, 1), width, np.uint8), np.packbits(bits, axis=1)], axis=1))
-    return np.concatenate(chains)
+    return digests([data])[0]
+
+
+def digests_by_run(texts: list[bytes]) -> list[np.ndarray]:
+    """``digests`` of any number of texts, in runs of about ``BYTES_PER_RUN`` (a longer text stands alone)."""
+    return [d for a, b in common.row_slices(np.array([len(t) for t in texts]), BYTES_PER_RUN) for d in digests(texts[a:b])]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -226,30 +282,23 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        held, out = None, []
-
-        def finish(own, following):
-            (i, text, mine), (_, other, theirs) = own, following
-            changed = edited(text, other).encode()
-            theirs_edited = mine if changed == text.encode() else digest(changed)
-            out.append((i, len(text), hashlib.sha256(changed).hexdigest(), encode(mine), encode(theirs_edited), likeness(mine, theirs_edited), likeness(mine, theirs)))
-
-        def batch_of():
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
-            out.clear()
-            return made
-
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        held = None
         for batch in batches:
-            for i, text, ghost in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                this = (i, text, digest(text.encode()))
-                if held is not None:
-                    finish(held, this)
-                held = None if ghost else this
-                if len(out) >= 500:
-                    yield batch_of()
-        if out:
-            yield batch_of()
+            ids, texts, ghosts = (batch.column(k).to_pylist() for k in range(3))
+            rows = list(zip(ids, texts, ghosts, digests_by_run([t.encode() for t in texts]), strict=True))
+            if held is not None:
+                rows.insert(0, held)
+            held = rows[-1] if rows else None
+            pairs = [(own, following) for own, following in zip(rows, rows[1:]) if not own[2]]
+            changed = [edited(own[1], following[1]) for own, following in pairs]
+            out = []
+            for (own, following), text, chain in zip(pairs, changed, digests_by_run([t.encode() for t in changed]), strict=True):
+                i, before, _, mine = own
+                sha = hashlib.sha256(text.encode()).hexdigest()
+                out.append((i, len(before), sha, encode(mine), encode(chain), likeness(mine, chain), likeness(mine, following[3])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
 
     dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("ghost", F.col("doc_id").asc_nulls_first(), "h", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
