@@ -643,6 +643,16 @@ def test_fingerprint_against_plain_version():
             assert fingerprint.likeness(real[i], real[j]) == pytest.approx(want, abs=1e-5) or np.array_equal(real[i], real[j])
 
 
+def test_fingerprints_of_a_run_of_texts():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 256, n, np.uint8).tobytes() for n in (0, 1, 7, 8, 9, 63, 64, 65, 511, 512, 513, 3000, 40_000)]
+    texts += [b"a" * n for n in (7, 8, 64, 512)] + [b"ab" * 300, b"", b"ab" * 300]
+    rng.shuffle(texts)
+    for got, text in zip(fingerprint.digests_by_run(texts), texts, strict=True):
+        assert np.array_equal(got, fingerprint.digest(text))
+    assert fingerprint.digests_by_run([]) == []
+
+
 def test_fingerprint_ranges_of_frequent_ids(spark):
     """One id and the null id hold most rows: they are split, and every row still meets its next one."""
     rng = random.Random(2)
